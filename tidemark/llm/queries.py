@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import chat, exact_dedup, fingerprint
 from tidemark.session import load
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, in pairs, as shared prompts and masked completions."""
+    return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents."""
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_exact_dedup,)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op5_chat_format": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}

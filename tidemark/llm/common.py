@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +22,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def batches(frames, text_col: str, max_chars: int = 4_000_000):
-    """Cut Arrow batches so that each piece holds about max_chars of text (a single longer text stays whole)."""
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        sizes = pdf[text_col].str.len().fillna(0).to_numpy()
-        start, held = 0, 0
-        for i, n in enumerate(sizes):
-            if held and held + n > max_chars:
-                yield pdf.iloc[start:i]
-                start, held = i, 0
-            held += n
-        yield pdf.iloc[start:]
+def cut(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
+    """Stretches of an Arrow batch that hold about limit bytes of text each (a single longer text stays whole)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(n)
+    if batch.num_rows:
+        yield batch.slice(start)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, fingerprint
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint
 from tidemark.session import load
 
 
@@ -20,13 +22,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    """All documents encoded by the multilingual byte-level ranks and decoded again, as digests."""
+    docs = load(spark, sf_dir, "documents")
+    both = bpe.round_trip(docs, ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents."""
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

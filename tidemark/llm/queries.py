@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, tokenfile
 from tidemark.session import load
 
 
@@ -22,6 +22,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """All documents' ids written to seekable files and read back, as digests."""
+    manifest = tokenfile.write_tokens(load(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     """All documents encoded by the multilingual byte-level ranks and decoded again, as digests."""
     docs = load(spark, sf_dir, "documents")
@@ -40,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

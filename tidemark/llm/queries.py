@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint, tokenfile
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, tokenfile
+from tidemark.llm.common import fold
 from tidemark.session import load
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of them."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 4) != 2), "doc_id", "text", "lang")
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
@@ -46,7 +54,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op3_fingerprint, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

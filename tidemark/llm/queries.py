@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, tokenfile
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, tokenfile, toxicity
 from tidemark.llm.common import fold
 from tidemark.session import load
 
@@ -25,6 +25,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learned from four fifths of the labelled ones."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, in pairs, as shared prompts and masked completions."""
     return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
@@ -54,7 +61,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_fingerprint, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op3_fingerprint, op4_toxicity, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,8 @@ then only the frames that hold those documents.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,7 +35,9 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 18  # a frame is closed once it holds this much
 LEVEL = 1
 #: Words that a worker keeps encoded; the store is emptied when full, which costs time and changes nothing else.
-KEEP_WORDS = 800_000
+KEEP_WORDS = 500_000
+_SAFE = re.compile("[!-~\u00c0-\u00ff]*").fullmatch
+_MARK = regex.compile(r"\p{M}").search
 
 
 def _sum32(data: bytes) -> int:
@@ -126,8 +131,32 @@ class TokenReader:
             yield int(self.doc_ids[p]) if self.valid[p] else None, int(self.starts[p]), data[at : at + 4 * int(self.counts[p])]
 
 
+class _Pieces(dict):
+    """Ids of a pre-token in the safe letters, from the library's BPE model."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+        # the public byte-level alphabet: printable Latin-1 characters stand for themselves, others follow from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(256, 512))
+        self.letters = {b: b if b in plain else next(others) for b in range(256)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class _Words(dict):
-    """A white-space-free word's ids as little-endian uint32 bytes, from the tokenizers library."""
+    """A white-space-free word's ids as little-endian uint32 bytes, from the tokenizers library.
+
+    Words never join over ASCII white space, so texts are encoded word by word, each new word once. A word of ASCII and
+    Latin-1 letters is cut here by the tokenizer's own pattern and its pieces go to the library's model; any other word
+    goes through the library's whole pipeline.
+    """
 
     def __init__(self, definition: str) -> None:
         super().__init__()
@@ -135,19 +164,32 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Words never join over ASCII white space, so texts are encoded word by word, each new word once."""
-        cut_up = [t.split() for t in texts]
-        new = [w for w in set().union(*cut_up) if w not in self]
-        if len(self) + len(new) > KEEP_WORDS:
+        spec = json.loads(definition)
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall if self.known else None
+        self.pieces = _Pieces(self.tokenizer.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEEP_WORDS:
             self.clear()
-            new = list(set().union(*cut_up))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join([*map(self.__getitem__, words), end]) for words in cut_up]
+        text = word.decode()
+        if self.known and _SAFE(text):
+            out = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+    def encode(self, text: str, end: bytes) -> bytes:
+        data = text.encode()
+        # ASCII letters may be lowered early where no mark could join with one of them
+        if self.known and (text.isascii() or not _MARK(text)):
+            data = data.lower()
+        return b"".join([*map(self.__getitem__, data.split()), end])
 
 
 _made: dict[str, _Words] = {}
@@ -193,8 +235,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
                 if writer is None:
                     stream = fs.open_output_stream(f"{top}/.{name}.open")
                     writer = TokenWriter(stream)
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode([(t or "").encode() for t in batch.column("text").to_pylist()], end), strict=True):
-                    writer.add(doc_id, ids)
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    writer.add(doc_id, words.encode(text or "", end))
         if writer is not None:
             writer.close()
             stream.close()

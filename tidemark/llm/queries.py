@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, tokenfile, toxicity
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, lm, tokenfile, toxicity
 from tidemark.llm.common import fold
 from tidemark.session import load
 
@@ -20,6 +20,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of nine tenths of them."""
+    docs = load(spark, sf_dir, "documents")
+    counts = lm.train(docs.where(fold("doc_id", 10) != 0))
+    return lm.score(docs, counts).withColumn("held_out", fold("doc_id", 10) == 0)
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
@@ -61,7 +68,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_fingerprint, op4_toxicity, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_lm_score, op3_fingerprint, op4_toxicity, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, lm, tokenfile, toxicity
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, lm, mixing, tokenfile, toxicity
 from tidemark.llm.common import fold
 from tidemark.session import load
 
@@ -44,6 +44,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as often as the mixture of sources reads them, each with its place in the mixed order."""
+    return mixing.mix(load(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"),
+        F.round("_weight", 9).alias("weight"), F.round("_position", 9).alias("position"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """All documents' ids written to seekable files and read back, as digests."""
     manifest = tokenfile.write_tokens(load(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
@@ -68,8 +76,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_lm_score, op3_fingerprint, op4_toxicity, op5_chat_format, op7_token_files, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_lm_score, op3_fingerprint, op4_toxicity, op5_chat_format, op6_mixing, op7_token_files, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op5_chat_format": chat.SQL, "op6_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}

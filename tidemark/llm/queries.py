@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, lm, mixing, tokenfile, toxicity
+from tidemark.llm import bpe, chat, exact_dedup, fingerprint, language, lm, mixing, near_dedup, tokenfile, toxicity
 from tidemark.llm.common import fold
 from tidemark.session import load
 
@@ -75,8 +75,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on three-word shingles from a similarity of 0.85."""
+    found = near_dedup.near_duplicates(load(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_lm_score, op3_fingerprint, op4_toxicity, op5_chat_format, op6_mixing, op7_token_files, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_lm_score, op3_fingerprint, op4_toxicity, op5_chat_format, op6_mixing, op7_token_files, op8_bpe, op9_exact_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

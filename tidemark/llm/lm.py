@@ -26,9 +26,9 @@ from tidemark.session import landed, ship
 
 BASE = 1.5  # ratio of neighbouring levels
 LEVELS = 60  # counts beyond 1.5 ** 60 share the last level
-BITS_PER_ENTRY = 10
-KEEP_WORDS = 500_000
-FLUSH = 4_000_000  # n-grams that a task gathers before it sends them
+BITS_PER_ENTRY = 9
+KEEP_WORDS = 300_000
+FLUSH = 1_500_000  # n-grams that a task gathers before it sends them
 GRID = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 0.9995])
 END = b""  # white space cuts no empty word, so the empty word can stand for the end
 
@@ -90,7 +90,11 @@ class Filter:
         self.first, self.owners = first, owners
         self.sizes = np.array([len(s) // 8 for s in segments], np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes.astype(np.int64))])
-        self.words = np.frombuffer(b"".join(segments), "<u8")
+        self.data = b"".join(segments)  # bytes travel in a broadcast without a second copy
+
+    @property
+    def words(self) -> np.ndarray:
+        return np.frombuffer(self.data, "<u8")
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         at = owner_of(h, self.owners) - self.first
@@ -101,10 +105,10 @@ class Filter:
         at = owner_of(h, self.owners) - self.first
         start, size = self.starts[at], self.sizes[at]
         out = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
+        live, words = np.arange(len(h)), self.words
         for q in range(1, LEVELS + 1):
             where, bits = _place(h[live], q, size[live])
-            live = live[self.words[start[live] + where] & bits == bits]
+            live = live[words[start[live] + where] & bits == bits]
             if not len(live):
                 break
             out[live] = q
@@ -193,7 +197,7 @@ def _gather(owners: int):
 
         size = 0
         for whole in batches:
-            for batch in cut(whole, "text"):
+            for batch in cut(whole, "text", 2_000_000):
                 at, _ = words.tokens(batch.column("text").to_pylist())
                 h = words.hashes[at]
                 for kind, x in enumerate((h, _pairs(h))):
@@ -237,7 +241,6 @@ class Model:
     top_n: np.ndarray
     single: Filter
     double: Filter
-    mixing: np.ndarray  # weight of the single word, by the context's level
 
 
 class Scorer:
@@ -305,7 +308,8 @@ class Counts:
     owners: int
     tokens: int
     words: int
-    mixing: np.ndarray
+    mixing: np.ndarray  # weight of the single word, by the context's level
+    kept: list  # the broadcast model, once made, if the filters fit into one
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_words: int = 400_000, fit_rows: int = 1_500, filter_limit: int = 128 << 20) -> Counts:
@@ -321,7 +325,7 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_w
     sent = base.select("text").mapInArrow(_gather(owners), "owner int, single binary, double binary")
     table = landed(sent.groupBy("owner").applyInPandas(_reduce(-(-top_words // owners)), _MODEL), "lm-counts")
     tokens, words = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    counts = Counts(table, owners, tokens, words, np.ones(LEVELS + 1))
+    counts = Counts(table, owners, tokens, words, np.ones(LEVELS + 1), [])
     edge = base.select(F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
     if edge is None:
         return counts
@@ -331,14 +335,15 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_w
         def fit(batches, held=held):
             scorer, out = _scorer(held), 0
             for whole in batches:
-                for batch in cut(whole, "text"):
+                for batch in cut(whole, "text", 2_000_000):
                     out = out + scorer.fit(batch.column("text").to_pylist())
             if not np.isscalar(out):
                 yield pa.RecordBatch.from_pydict({"gains": [out.tobytes()]})
 
         for r in base.where(F.xxhash64("id") <= edge).select("text").repartition(8).mapInArrow(fit, "gains binary").collect():
             gains += np.frombuffer(r["gains"], np.float64).reshape(gains.shape)
-        held.destroy()
+        if not counts.kept:
+            held.destroy()
     best = GRID[gains.argmax(axis=1)]
     seen = np.flatnonzero(gains.any(axis=1))
     if len(seen):  # a level without sample takes the weight of the nearest one below
@@ -349,6 +354,9 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_w
 
 def _shards(counts: Counts, limit: int):
     """Broadcast models whose filters stay within limit bytes; more than one when the pairs' filter is larger."""
+    if counts.kept:
+        yield counts.kept[0]
+        return
     spark = counts.table.sparkSession
     sizes = {r["owner"]: (r["a"], r["b"]) for r in counts.table.select("owner", F.octet_length("single").alias("a"), F.octet_length("double").alias("b")).collect()}
     room = limit - sum(a for a, _ in sizes.values())
@@ -372,7 +380,11 @@ def _shards(counts: Counts, limit: int):
     for a, b in groups:
         part = {r["owner"]: bytes(r["double"]) for r in counts.table.where(F.col("owner").between(a, b - 1)).select("owner", "double").toLocalIterator()}
         double = Filter([part.pop(o, empty) for o in range(a, b)], a, counts.owners)
-        yield spark.sparkContext.broadcast(Model(uuid.uuid4().hex, counts.tokens, counts.words, words, numbers, whole, double, counts.mixing))
+        held = spark.sparkContext.broadcast(Model(uuid.uuid4().hex, counts.tokens, counts.words, words, numbers, whole, double))
+        del double, part
+        if len(groups) == 1:
+            counts.kept.append(held)
+        yield held
 
 
 def _rest(batches):
@@ -398,17 +410,18 @@ def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
     named = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     passes = None
     shards = 0
+    mixing = counts.mixing
     for held in _shards(counts, filter_limit):
         first = shards == 0
 
         def work(batches, held=held, first=first):
             scorer = _scorer(held)
             for whole in batches:
-                for batch in cut(whole, "text"):
+                for batch in cut(whole, "text", 2_000_000):
                     at, lengths, h = scorer.tokens(batch.column("text").to_pylist())
                     doc = np.repeat(np.arange(len(lengths)), lengths)
                     where, share, alone, level = scorer.mixture(at, h)
-                    w = scorer.model.mixing[level]
+                    w = mixing[level]
                     total_score = np.bincount(doc[where], np.log10((1 - w) * share + w * alone), len(lengths))
                     exact = scorer.known[1][at]
                     top = exact >= 0
@@ -425,6 +438,9 @@ def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
                     )
 
         scored = named.mapInArrow(work, shape)
+        if not counts.kept:  # one of several parts: its pass ends before the next part is broadcast
+            scored = landed(scored, "lm-pass")
+            held.destroy()
         passes = scored if passes is None else passes.unionAll(scored)
         shards += 1
     # a row of its own carries each text's sums; its place in the join is spread by the row's hash and never matches

@@ -56,8 +56,9 @@ def shingle_sets(texts: list[str | None], words: int, seen: dict) -> list[np.nda
         if not tokens:
             out.append(np.empty(0, np.uint64))
             continue
-        for w in set(tokens) - seen.keys():
-            seen[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(tokens):
+            if w not in seen:
+                seen[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
         n = max(1, len(h) - words + 1)
         s = np.zeros(n, np.uint64)
@@ -361,3 +362,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _vertex(digest: bytes | None) -> int | None:
     return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose id is their component's, with all their columns; rows with a null id all stay.
+
+    The keys of dropped rows are broadcast up to broadcast_rows of them, and joined by shuffle beyond.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, percent)
+    dropped = landed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "near-dropped")
+    few = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
+    return docs.join(few, (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_row")), "left_anti")

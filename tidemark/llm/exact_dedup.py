@@ -98,18 +98,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(file, row, id, text): each row's place in its input file. Frames that are not plain file scans are landed first."""
-    pick = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")]
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows have places in files, else docs landed in the shared folder."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
     if "_metadata" not in docs.columns and docs.inputFiles():
         try:
-            out = docs.select(*place, *pick)
-            out.schema  # noqa: B018  analysed here, so that a frame without places is found now
-            return out
+            docs.select(*place).schema  # noqa: B018  analysed here, so that a frame without places is found now
+            return docs
         except AnalysisException:
             pass
-    return landed(docs.select(*pick), "dedup-input").select(*place, "id", "text")
+    return landed(docs.withColumnsRenamed({"_metadata": "_metadata_"}), "dedup-input")
+
+
+def _addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(file, row, id, text): each row's place in its input file."""
+    return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", guard_bits: int = 10, bitmap_limit: int = 64 << 20) -> DataFrame:
@@ -121,6 +124,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result. bitmap_limit bounds what is broadcast (a bit a row); beyond it the input files are taken in
     groups whose bitmaps fit.
     """
+    return _decided(_placed(docs), id_col, text_col, guard_bits, bitmap_limit).drop("file", "row")
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns.
+
+    The places of dropped rows are broadcast up to broadcast_rows of them (then texts stay where they are), and joined by
+    shuffle beyond.
+    """
+    clash = "_metadata" in docs.columns
+    docs = _placed(docs)
+    dropped = landed(_decided(docs, id_col, text_col, 10, 64 << 20).where("NOT kept").select("file", "row"), "dedup-dropped")
+    few = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
+    here = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return here.join(few, (F.col("_file") == F.col("file")) & (F.col("_row") == few["row"]), "left_anti").drop("_file", "_row").withColumnsRenamed({"_metadata_": "_metadata"} if clash else {})
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, guard_bits: int, bitmap_limit: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     source = _addressed(docs, id_col, text_col)
@@ -175,6 +196,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         first.alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "file",
+        "row",
     )
 
 

@@ -116,7 +116,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: in
     # the rows at the edge's hash are one id's rows: a sample of whole ids
     sample = labelled.where(F.xxhash64("id") <= edge).select("text", "lang").repartition(8)
     total: dict[str, list] = {}
-    for r in sample.mapInArrow(count, "lang string, slots binary, scripts array<long>, n long").toLocalIterator():
+    for r in sample.mapInArrow(count, "lang string, slots binary, scripts array<long>, n long").collect():
         have = total.setdefault(r["lang"], [0, 0, 0])
         have[0] = have[0] + np.frombuffer(r["slots"], "<f4").astype(np.float64)
         have[1] = have[1] + np.array(r["scripts"])
@@ -223,24 +223,28 @@ def _scorer(key: str, model: Model) -> Scorer:
     return _scorers[key]
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score[, spans]) of each row, from its whole text alone.
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score[, spans]) of each row, from its whole text alone; with carry, all columns of docs too.
 
     lang_pred is the language of the spans with most letters (ties: the first by name), score their share of all
     letters. Texts that are null or have no letter, and any text when nothing could be learned, are 'und' with score 0
     and no spans. spans: array of (lang, start, length) in characters of the lower-cased text, from the first to the
-    last letter. Repeated rows are each answered; other columns are ignored; an empty table gives an empty result.
+    last letter. Repeated rows are each answered; other columns are ignored, or
+    with carry kept except those that have the new names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
+    text_name = text_col if carry else "text"
+    base = docs.drop("lang_pred", "score", *["spans"] * spans) if carry else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    through = base.columns if carry else ["doc_id"]
 
     def work(batches):
         key, model = held.value
         scorer = _scorer(key, model) if model else None
         for whole in batches:
-            for batch in cut(whole, "text", 3_000_000):
-                texts = [(t or "").lower() for t in batch.column("text").to_pylist()]
+            for batch in cut(whole, text_name, 3_000_000):
+                texts = [(t or "").lower() for t in batch.column(text_name).to_pylist()]
                 words = [_LETTERS.findall(t) if scorer else [] for t in texts]
                 labels = scorer.label(words) if scorer else [np.empty(0, np.int8)] * len(words)
                 lang, score, runs = [], [], []
@@ -252,15 +256,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     top = int(share.argmax())
                     lang.append(model.languages[top]), score.append(float(share[top] / share.sum()))
                     runs.append(_spans(text, path, model.languages) if spans else [])
-                cols = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                names = ["doc_id", "lang_pred", "score"]
+                cols = [*(batch.column(c) for c in through), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                names = [*through, "lang_pred", "score"]
                 if spans:
                     cols.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))))
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    shape = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in through), "lang_pred string", "score double"])
     return base.mapInArrow(work, shape + ", spans array<struct<lang: string, start: bigint, length: bigint>>" * spans)
 
 

@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import load
+from tidemark.plans import relational, search
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "lang")
+    """The ten best documents of the dense and the keyword channel, fused by reciprocal ranks."""
+    return search.co05_hybrid(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return relational.QUERIES | search.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.SQL | search.SQL

@@ -52,8 +52,15 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in an Arrow batch to a Python worker; the default of 10,000 holds tens of megabytes on either side.
+ARROW_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on Python workers that do not inherit the driver's search path."""
+    """Prepare a session for Python workers: bounded batches, and this package importable on workers that do not inherit
+    the driver's search path."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in paths or os.path.realpath(os.getcwd()) == str(ROOT) or os.path.exists(os.path.join(os.getcwd(), "tidemark", "session.py")):
         return

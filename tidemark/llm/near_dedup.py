@@ -124,7 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
 def by_group(frame: DataFrame, keys: list[str], join) -> DataFrame:
     """Edges (a, b) of each group of rows that agree in keys (longs and ints); groups are of bounded size.
 
-    Rows are dealt and sorted by key and streamed: join gets an Arrow batch of whole groups with the place where each
+    Rows are dealt by key, sorted by key and vertex and streamed, so the first of a group is its smallest vertex: join gets an Arrow batch of whole groups with the place where each
     begins, and returns two arrays of vertices.
     """
     ship(frame.sparkSession)
@@ -151,7 +151,7 @@ def by_group(frame: DataFrame, keys: list[str], join) -> DataFrame:
         if held is not None:
             yield edges(held, np.zeros(1, np.int64))
 
-    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
+    return frame.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(work, "a long, b long")
 
 
 def _forest(loose: float):

@@ -26,7 +26,7 @@ from tidemark.session import landed, ship
 
 BASE = 1.5  # ratio of neighbouring levels
 LEVELS = 60  # counts beyond 1.5 ** 60 share the last level
-BITS_PER_ENTRY = 9
+BITS_PER_ENTRY = 8
 KEEP_WORDS = 300_000
 FLUSH = 1_500_000  # n-grams that a task gathers before it sends them
 GRID = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 0.9995])
@@ -178,6 +178,7 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 def _gather(owners: int):
     def work(batches):
+        _scorers.clear()  # what an earlier model left in this worker
         words, held = Words(), ([], [])
 
         def send():
@@ -234,7 +235,6 @@ _MODEL = "owner int, tokens long, words long, top binary, top_n binary, rest bin
 
 @dataclass(frozen=True)
 class Model:
-    key: str
     tokens: int
     words: int
     top: np.ndarray  # ascending hashes of the commonest words
@@ -289,12 +289,12 @@ class Scorer:
         return out
 
 
-def _scorer(held) -> Scorer:
-    model = held.value
-    if model.key not in _scorers:
+def _scorer(key: str, held) -> Scorer:
+    """The worker's scorer; an older one goes before the new model is read."""
+    if key not in _scorers:
         _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+        _scorers[key] = Scorer(held.value)
+    return _scorers[key]
 
 
 _scorers: dict[str, Scorer] = {}
@@ -330,10 +330,10 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_w
     if edge is None:
         return counts
     gains = np.zeros((LEVELS + 1, len(GRID)))
-    for held in _shards(counts, filter_limit):
+    for key, held in _shards(counts, filter_limit):
 
-        def fit(batches, held=held):
-            scorer, out = _scorer(held), 0
+        def fit(batches, key=key, held=held):
+            scorer, out = _scorer(key, held), 0
             for whole in batches:
                 for batch in cut(whole, "text", 2_000_000):
                     out = out + scorer.fit(batch.column("text").to_pylist())
@@ -380,11 +380,12 @@ def _shards(counts: Counts, limit: int):
     for a, b in groups:
         part = {r["owner"]: bytes(r["double"]) for r in counts.table.where(F.col("owner").between(a, b - 1)).select("owner", "double").toLocalIterator()}
         double = Filter([part.pop(o, empty) for o in range(a, b)], a, counts.owners)
-        held = spark.sparkContext.broadcast(Model(uuid.uuid4().hex, counts.tokens, counts.words, words, numbers, whole, double))
+        held = spark.sparkContext.broadcast(Model(counts.tokens, counts.words, words, numbers, whole, double))
         del double, part
+        out = (uuid.uuid4().hex, held)
         if len(groups) == 1:
-            counts.kept.append(held)
-        yield held
+            counts.kept.append(out)
+        yield out
 
 
 def _rest(batches):
@@ -411,11 +412,11 @@ def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
     passes = None
     shards = 0
     mixing = counts.mixing
-    for held in _shards(counts, filter_limit):
+    for key, held in _shards(counts, filter_limit):
         first = shards == 0
 
-        def work(batches, held=held, first=first):
-            scorer = _scorer(held)
+        def work(batches, key=key, held=held, first=first):
+            scorer = _scorer(key, held)
             for whole in batches:
                 for batch in cut(whole, "text", 2_000_000):
                     at, lengths, h = scorer.tokens(batch.column("text").to_pylist())

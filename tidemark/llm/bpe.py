@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, worker_state
 from tidemark.session import ship
 
 #: Pieces that a worker keeps encoded; the store is emptied when full, which costs time and changes nothing else.
@@ -192,16 +192,10 @@ class _Pieces(dict):
         return out
 
 
-_made: dict[tuple, _Pieces] = {}
-
-
 def _pieces(spec) -> _Pieces:
     """One encoder a worker process and vocabulary."""
-    key = (spec.value[0], spec.value[1])
-    if key not in _made:
-        _made.clear()
-        _made[key] = _Pieces(ByteBPE(spec.value[2], spec.value[1]))
-    return _made[key]
+    path, pattern, ranks = spec.value
+    return worker_state(("pieces", path, pattern), lambda: _Pieces(ByteBPE(ranks, pattern)))
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:

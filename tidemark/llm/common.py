@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,32 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps from task to task, made once for a key. Only one key's is held: workers outlive the
+    stages of a job, and what an earlier stage left would add up."""
+    if key not in _state:
+        release()
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Forget what earlier stages left in this worker."""
+    if _state:
+        _state.clear()
+        gc.collect()
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like name that is not among columns."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def cut(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Stretches of an Arrow batch that hold about limit bytes of text each (a single longer text stays whole)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE
+from tidemark.llm.common import SPACE, unused
 from tidemark.session import landed, ship
 
 BLOCK_SHIFT = 20  # rows of a file in a block, as a power of two
@@ -135,10 +135,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     clash = "_metadata" in docs.columns
     docs = _placed(docs)
-    dropped = landed(_decided(docs, id_col, text_col, 10, 64 << 20).where("NOT kept").select("file", "row"), "dedup-dropped")
+    names = [unused(n, docs.columns) for n in ("at_file", "at_row", "gone_file", "gone_row")]
+    dropped = landed(_decided(docs, id_col, text_col, 10, 64 << 20).where("NOT kept").select(F.col("file").alias(names[2]), F.col("row").alias(names[3])), "dedup-dropped")
     few = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
-    here = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    return here.join(few, (F.col("_file") == F.col("file")) & (F.col("_row") == few["row"]), "left_anti").drop("_file", "_row").withColumnsRenamed({"_metadata_": "_metadata"} if clash else {})
+    here = docs.withColumns({names[0]: F.col("_metadata.file_path"), names[1]: F.col("_metadata.row_index")})
+    return here.join(few, (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])), "left_anti").drop(*names[:2]).withColumnsRenamed({"_metadata_": "_metadata"} if clash else {})
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, guard_bits: int, bitmap_limit: int) -> DataFrame:

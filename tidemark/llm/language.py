@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release, worker_state
 from tidemark.session import ship
 
 # First and last code points of scripts.
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: in
         return None
 
     def count(batches):
+        release()
         seen: dict[str, list] = {}
         for whole in batches:
             for batch in cut(whole, "text"):
@@ -213,16 +214,6 @@ def viterbi(scores: list[np.ndarray], start: np.ndarray, penalty: float) -> list
     return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of each row, from its whole text alone; with carry, all columns of docs too.
 
@@ -234,14 +225,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
+    key, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
     text_name = text_col if carry else "text"
     base = docs.drop("lang_pred", "score", *["spans"] * spans) if carry else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     through = base.columns if carry else ["doc_id"]
 
     def work(batches):
-        key, model = held.value
-        scorer = _scorer(key, model) if model else None
+        model = held.value
+        scorer = worker_state(key, lambda: Scorer(model)) if model else None
         for whole in batches:
             for batch in cut(whole, text_name, 3_000_000):
                 texts = [(t or "").lower() for t in batch.column(text_name).to_pylist()]

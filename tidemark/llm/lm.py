@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release, worker_state
 from tidemark.session import landed, ship
 
 BASE = 1.5  # ratio of neighbouring levels
@@ -178,7 +178,7 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 def _gather(owners: int):
     def work(batches):
-        _scorers.clear()  # what an earlier model left in this worker
+        release()
         words, held = Words(), ([], [])
 
         def send():
@@ -291,13 +291,7 @@ class Scorer:
 
 def _scorer(key: str, held) -> Scorer:
     """The worker's scorer; an older one goes before the new model is read."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(held.value)
-    return _scorers[key]
-
-
-_scorers: dict[str, Scorer] = {}
+    return worker_state(key, lambda: Scorer(held.value))
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release, unused
 from tidemark.session import landed, ship
 
 COORDS = 64  # minwise values of a sketch
@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def sketch(batches):
+        release()
         seen: dict = {}
         for whole in batches:
             for batch in cut(whole, "text", 2_000_000):
@@ -334,6 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
 
     def full_sets(batches):
+        release()
         seen: dict = {}
         held = np.frombuffer(shared.value, np.uint64)
         for whole in batches:
@@ -370,6 +372,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The keys of dropped rows are broadcast up to broadcast_rows of them, and joined by shuffle beyond.
     """
     found = near_duplicates(docs, id_col, text_col, words, percent)
-    dropped = landed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "near-dropped")
+    gone, gone_row = unused("gone", docs.columns), unused("gone_row", docs.columns)
+    dropped = landed(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone), F.col("row").alias(gone_row)).distinct(), "near-dropped")
     few = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
-    return docs.join(few, (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_row")), "left_anti")
+    return docs.join(few, (F.col(f"`{id_col}`").cast("long") == F.col(gone)) & (F.xxhash64(f"`{text_col}`") == F.col(gone_row)), "left_anti")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, worker_state
 from tidemark.session import shared_dir, ship
 
 # Fixed values of the zstd seekable format.
@@ -192,16 +192,6 @@ class _Words(dict):
         return b"".join([*map(self.__getitem__, data.split()), end])
 
 
-_made: dict[str, _Words] = {}
-
-
-def _words(name: str, definition: str) -> _Words:
-    if name not in _made:
-        _made.clear()
-        _made[name] = _Words(definition)
-    return _made[name]
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Encode whole texts, add end_id to each, and write the ids as files in ascending id order; returns the manifest.
 
@@ -214,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
     ship(spark)
     folder = folder or f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
     with open(tokenizer_path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast((tokenizer_path, f.read()))
+        definition = spark.sparkContext.broadcast(f.read())
     fs, top = pafs.FileSystem.from_uri(folder)
     fs.create_dir(top)
     end = struct.pack("<I", end_id)
@@ -226,7 +216,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words = _words(*definition.value)
+        words = worker_state(("words", tokenizer_path), lambda: _Words(definition.value))
         fs, top = pafs.FileSystem.from_uri(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.zst"
         stream = writer = None

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release, worker_state
 from tidemark.llm.language import words_of
 from tidemark.session import ship
 
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def features(batches):
+        release()
         hasher = Hasher()
         for whole in batches:
             for batch in cut(whole, "text"):
@@ -134,9 +135,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.bias + np.bincount(pairs >> SLOTS_LOG2, weights, len(texts)), -35, 35)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of each row from its whole text alone; predicted is 1 from a score of 0.5.
 
@@ -145,16 +143,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
+    key, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
 
     def work(batches):
-        key, model = held.value
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model)
+        scorer = worker_state(key, lambda: Scorer(held.value))
         for whole in batches:
             for batch in cut(whole, "text"):
-                s = _scorers[key].score([t or "" for t in batch.column("text").to_pylist()])
+                s = scorer.score([t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -10,6 +10,7 @@ edit that stops as soon as the stored tokens agree with the old ones over the lo
 from __future__ import annotations
 
 import base64
+import struct
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,9 @@ from tidemark.llm.common import cut, worker_state
 from tidemark.session import ship
 
 #: Pieces that a worker keeps encoded; the store is emptied when full, which costs time and changes nothing else.
-KEEP_PIECES = 700_000
+KEEP_PIECES = 500_000
+HEAD = 6
+KEEP_HEADS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +44,7 @@ class ByteBPE:
         self.longest = max(map(len, ranks))
         self.find = regex.compile(pattern).findall
         self._known: dict[int, bool] = {}
+        self._heads: dict[bytes, list[int]] = {}
         self._lengths: dict[bytes, tuple[int, ...]] = {}
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
@@ -90,7 +94,7 @@ class ByteBPE:
         key = left << 32 | right
         out = self._known.get(key)
         if out is None:
-            if len(self._known) > 1_000_000:
+            if len(self._known) > 500_000:
                 self._known.clear()
             out = self._known[key] = self._stands(left, right)
         return out
@@ -98,7 +102,7 @@ class ByteBPE:
     def _lengths_at(self, end: bytes) -> tuple[int, ...]:
         """Lengths of the tokens that end in these (up to three) bytes, longest first."""
         out = {*self._ends.get(end, ()), *(k for k in (1, 2) if end[-k:] in self.ranks)}
-        if len(self._lengths) > 500_000:
+        if len(self._lengths) > 200_000:
             self._lengths.clear()
         return self._lengths.setdefault(end, tuple(sorted(out, reverse=True)))
 
@@ -132,7 +136,16 @@ class ByteBPE:
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.walk(self.extend(data, [-1]), len(data))
+        if whole is not None:
+            return [whole]
+        # pieces that start alike share the table of their first bytes and only append to it
+        head = data[:HEAD]
+        last = self._heads.get(head)
+        if last is None:
+            if len(self._heads) >= KEEP_HEADS:
+                self._heads.clear()
+            last = self._heads[head] = self.extend(head, [-1])
+        return self.walk(self.extend(data, last[:]), len(data))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.encode_piece, self.find(text))))
@@ -186,7 +199,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEEP_PIECES:
             self.clear()
-        out = np.array(self.bpe.encode_piece(piece), "<i4").tobytes()
+        ids = self.bpe.encode_piece(piece)
+        out = struct.pack(f"<{len(ids)}i", *ids)
         if len(piece) <= 64:
             self[piece] = out
         return out

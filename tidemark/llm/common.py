@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -37,10 +38,12 @@ def worker_state(key, make):
 
 
 def release() -> None:
-    """Forget what earlier stages left in this worker."""
-    if _state:
-        _state.clear()
-        gc.collect()
+    """Forget what earlier stages left in this worker, and give free memory back where the C library can."""
+    _state.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -38,7 +38,7 @@ OTHER = len(SCRIPTS)  # letters of no listed script
 SLOTS_LOG2 = 16  # n-grams are hashed to this many slots
 ORDERS = (1, 2, 3, 4)
 RULED_OUT = -100.0  # score of a language that was not seen in the word's scripts
-KEEP_WORDS = 400_000
+KEEP_WORDS = 200_000
 
 _STARTS, _ENDS, _WHICH = (np.array(x) for x in zip(*sorted((a, b, i) for i, r in enumerate(SCRIPTS.values()) for a, b in r), strict=True))
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         model = held.value
         scorer = worker_state(key, lambda: Scorer(model)) if model else None
         for whole in batches:
-            for batch in cut(whole, text_name, 3_000_000):
+            for batch in cut(whole, text_name, 1_500_000):
                 texts = [(t or "").lower() for t in batch.column(text_name).to_pylist()]
                 words = [_LETTERS.findall(t) if scorer else [] for t in texts]
                 labels = scorer.label(words) if scorer else [np.empty(0, np.int8)] * len(words)

@@ -48,7 +48,7 @@ _SALTS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB8665
 
 def shingle_sets(texts: list[str | None], words: int, seen: dict) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's word shingles (fewer words: the whole sequence; none: empty)."""
-    if len(seen) > 500_000:
+    if len(seen) > 200_000:
         seen.clear()
     out = []
     for t in texts:
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release()
         seen: dict = {}
         for whole in batches:
-            for batch in cut(whole, "text", 2_000_000):
+            for batch in cut(whole, "text", 1_000_000):
                 sets = shingle_sets(batch.column("text").to_pylist(), words, seen)
                 full = [s for s in sets if len(s)]
                 made = iter(sketches(full) if full else [])
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen: dict = {}
         held = np.frombuffer(shared.value, np.uint64)
         for whole in batches:
-            for batch in cut(whole, "text", 2_000_000):
+            for batch in cut(whole, "text", 1_000_000):
                 sets = shingle_sets(batch.column("text").to_pylist(), words, seen)
                 out = []
                 for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from test_operators import _components
+from test_llm_operators import _components
 
 from tidemark.session import landed
 

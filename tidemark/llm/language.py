@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 labels = scorer.label(words) if scorer else [np.empty(0, np.int8)] * len(words)
                 lang, score, runs = [], [], []
                 for text, w, path in zip(texts, words, labels, strict=True):
-                    if not len(path):
+                    if not any(c.isalpha() for x in w for c in x):  # other numerals than digits are no letters
                         lang.append("und"), score.append(0.0), runs.append([])
                         continue
                     share = np.bincount(path, scorer.letters[[scorer.place[x] for x in w]] if len(set(path.tolist())) > 1 else None, len(model.languages))

@@ -23,3 +23,11 @@ def test_norm_of_every_document(spark, small):
     docs = table(small, "documents")
     got = run("fn01_norm", spark, small)
     assert dict(zip(got["doc_id"], got["norm"], strict=True)) == {r.doc_id: norm(r.text) for r in docs.itertuples()}
+
+
+def test_lemmas_of_whole_texts(spark, small):
+    base = {"was": "be", "is": "be", "are": "be"}
+    docs = table(small, "documents")
+    got = run("fn09_lemmas", spark, small)
+    want = {r.doc_id: " ".join(base.get(w, w) for w in re.findall(r"\w+", r.text.lower())) for r in docs.itertuples()}
+    assert dict(zip(got["doc_id"], got["lemmas"], strict=True)) == want

@@ -31,3 +31,10 @@ def test_lemmas_of_whole_texts(spark, small):
     got = run("fn09_lemmas", spark, small)
     want = {r.doc_id: " ".join(base.get(w, w) for w in re.findall(r"\w+", r.text.lower())) for r in docs.itertuples()}
     assert dict(zip(got["doc_id"], got["lemmas"], strict=True)) == want
+
+
+def test_noise_of_all_events(spark, small):
+    events = table(small, "events")
+    g = events.assign(hit=events["event_type"] == "click").groupby("user_id").agg(s=("event_type", "nunique"), g=("hit", "nunique"))
+    got = run("ag12_noise", spark, small).iloc[0]
+    assert (got["n"], got["set_flip_rate"], got["gold_flips"]) == (len(g), round((g["s"] > 1).mean(), 6), (g["g"] > 1).sum())

@@ -38,3 +38,8 @@ def test_noise_of_all_events(spark, small):
     g = events.assign(hit=events["event_type"] == "click").groupby("user_id").agg(s=("event_type", "nunique"), g=("hit", "nunique"))
     got = run("ag12_noise", spark, small).iloc[0]
     assert (got["n"], got["set_flip_rate"], got["gold_flips"]) == (len(g), round((g["s"] > 1).mean(), 6), (g["g"] > 1).sum())
+
+
+def test_stems_of_all_orders(spark, small):
+    got = run("fn14_stem", spark, small)
+    assert sorted(got["stem"]) == sorted({f"o{k}" for k in table(small, "lineitem")["l_orderkey"]})

@@ -43,3 +43,17 @@ def test_noise_of_all_events(spark, small):
 def test_stems_of_all_orders(spark, small):
     got = run("fn14_stem", spark, small)
     assert sorted(got["stem"]) == sorted({f"o{k}" for k in table(small, "lineitem")["l_orderkey"]})
+
+
+def test_natural_order_of_all_parts(spark, small):
+    d = small.replace("sf0.001", "sf0.01")  # the smallest tables have too few parts
+    parts = table(d, "part").sort_values(["p_size", "p_partkey"])
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    for joined in ("true", "false"):  # one range, several ranges
+        spark.conf.set(conf, joined)
+        try:
+            got = run("wn04_natural_order", spark, d)
+        finally:
+            spark.conf.unset(conf)
+        assert list(got.sort_values("pos")["p_partkey"]) == list(parts["p_partkey"])
+        assert sorted(got["pos"]) == list(range(1, len(parts) + 1))

@@ -276,8 +276,8 @@ def wn03_budget(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part WHERE p_partkey <= 700")
 def wn04_natural_order(spark, d):
-    p = load(spark, d, "part").where("p_partkey <= 700").withColumn("path", F.concat(F.lit("ст."), "p_size", F.lit("/п."), "p_partkey"))
-    return p.select("p_partkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(tx.natural_key(F.col("path")))).alias("pos"))
+    path = F.concat(F.lit("ст."), "p_size", F.lit("/п."), "p_partkey")
+    return paths.positions(load(spark, d, "part").select("p_partkey", tx.natural_key(path).alias("key")), "key").select("p_partkey", "pos")
 
 
 @query("SELECT o_custkey, o_orderkey, turn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn FROM orders) ORDER BY turn, o_custkey LIMIT 500")

@@ -57,3 +57,11 @@ def test_natural_order_of_all_parts(spark, small):
             spark.conf.unset(conf)
         assert list(got.sort_values("pos")["p_partkey"]) == list(parts["p_partkey"])
         assert sorted(got["pos"]) == list(range(1, len(parts) + 1))
+
+
+def test_chunks_of_the_last_editions(spark, small):
+    d = small.replace("sf0.001", "sf0.01")  # ids of the smallest tables end before 2022-06-01
+    units = run("co15_parse", spark, d)
+    last = {act: str((pd.Timestamp("2020-01-01") + pd.Timedelta(days=int(n))).date()) for act, n in units.groupby("act")["edition"].max().items()}
+    got = run("co17_chunks", spark, d)
+    assert got.groupby("act")["edition"].agg(set).to_dict() == {act: {day} for act, day in last.items()}

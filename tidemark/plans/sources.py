@@ -74,5 +74,8 @@ def co15_parse(spark, d):
 def co17_chunks(spark, d):
     from tidemark.operators.corpus import build_chunks
 
-    units = co15_parse(spark, d).withColumn("edition", F.date_add(F.lit("2020-01-01").cast("date"), F.col("edition").cast("int"))).withColumn("n_tokens", F.ceil(F.length("text") / 4))
-    return build_chunks(units, "2022-06-01").select("act", F.col("edition").cast("string").alias("edition"), "unit_path", "route", "citation", "content_hash")
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int"))
+    units = co15_parse(spark, d).withColumn("edition", day(F.col("edition"))).withColumn("n_tokens", F.ceil(F.length("text") / 4))
+    # as of the last day of the data, as a string: Python has no dates beyond the year 9999
+    last = load(spark, d, "documents").agg(day(F.max("doc_id")).cast("string")).first()[0]
+    return build_chunks(units, last).select("act", F.col("edition").cast("string").alias("edition"), "unit_path", "route", "citation", "content_hash")

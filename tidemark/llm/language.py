@@ -186,8 +186,9 @@ def viterbi(scores: list[np.ndarray], start: np.ndarray, penalty: float) -> list
     flat = np.empty((int(first[-1]), len(start)), np.float32)
     for row, i in enumerate(order):
         flat[first[: lengths[row]] + row] = scores[i]
-    stay, best, labels = np.empty(flat.shape, bool), np.empty(len(flat), np.int8), np.empty(len(flat), np.int8)
-    now = np.empty(len(order), np.int8)  # the last label of each sequence, then the label at the step reached
+    kind = np.int8 if len(start) <= 127 else np.int32
+    stay, best, labels = np.empty(flat.shape, bool), np.empty(len(flat), kind), np.empty(len(flat), kind)
+    now = np.empty(len(order), kind)  # the last label of each sequence, then the label at the step reached
     total = np.empty((0, len(start)), np.float32)
     for t in range(steps):
         n, a = alive[t], first[t]
@@ -208,7 +209,7 @@ def viterbi(scores: list[np.ndarray], start: np.ndarray, penalty: float) -> list
         labels[a : a + n] = now[:n]
         if t:
             now[:n] = np.where(stay[a : a + n][np.arange(n), now[:n]], now[:n], best[a : a + n])
-    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(order)
+    out: list[np.ndarray] = [np.empty(0, kind)] * len(order)
     for row, i in enumerate(order):
         out[i] = labels[first[: lengths[row]] + row]
     return out

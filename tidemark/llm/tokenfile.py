@@ -153,9 +153,10 @@ class _Pieces(dict):
 class _Words(dict):
     """A white-space-free word's ids as little-endian uint32 bytes, from the tokenizers library.
 
-    Words never join over ASCII white space, so texts are encoded word by word, each new word once. A word of ASCII and
-    Latin-1 letters is cut here by the tokenizer's own pattern and its pieces go to the library's model; any other word
-    goes through the library's whole pipeline.
+    Where the tokenizer's steps are the known ones, words never join over ASCII white space, so texts are encoded word by
+    word, each new word once. A word of ASCII and Latin-1 letters is cut here by the tokenizer's own pattern and its
+    pieces go to the library's model; any other word, and any that holds an added token, goes through the library's
+    whole pipeline. Texts of other tokenizers go through it whole.
     """
 
     def __init__(self, definition: str) -> None:
@@ -163,11 +164,16 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(definition)
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.added_folded = re.compile(b"|".join(re.escape(x.encode().lower()) for x in added) or b"(?!)").search
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.known = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.known = (
+            kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+            and not any(x.get("normalized") for x in spec.get("added_tokens") or []) and not any(re.search(r"\s", x) for x in added)
+        )
         self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall if self.known else None
         self.pieces = _Pieces(self.tokenizer.model)
 
@@ -175,7 +181,7 @@ class _Words(dict):
         if len(self) >= KEEP_WORDS:
             self.clear()
         text = word.decode()
-        if self.known and _SAFE(text):
+        if _SAFE(text) and not self.added(text):
             out = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -185,10 +191,14 @@ class _Words(dict):
         return out
 
     def encode(self, text: str, end: bytes) -> bytes:
+        if not self.known:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids) + end
         data = text.encode()
-        # ASCII letters may be lowered early where no mark could join with one of them
-        if self.known and (text.isascii() or not _MARK(text)):
-            data = data.lower()
+        # ASCII letters may be lowered early where no mark could join with one of them and no added token comes of it
+        if text.isascii() or not _MARK(text):
+            lowered = data.lower()
+            data = data if self.added_folded(lowered) else lowered
         return b"".join([*map(self.__getitem__, data.split()), end])
 
 

@@ -56,14 +56,29 @@ def assemble(segments: DataFrame) -> DataFrame:
     return segments.groupBy("pair_id").agg(joined("prompt"), joined("chosen"), joined("rejected"), F.max("paired").alias("paired"))
 
 
-def paired_conversations(conversations: DataFrame) -> DataFrame:
-    """Each even conversation as chosen with the odd one after it as rejected."""
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")
+def exchanged_answers(conversations: DataFrame) -> DataFrame:
+    """Each conversation as chosen, and as rejected with its last answer exchanged for that of its neighbour.
+
+    Neighbours are 2k and 2k + 1. The answer is the assistant's row of the highest turn (of several, the greatest text);
+    without a neighbour, or with a neighbour that has none, it becomes empty. A conversation without an answer is its own
+    rejected side. Null conv_ids give no rows; other columns are ignored.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").distinct()
+    answers = rows.where("role = 'assistant' AND turn IS NOT NULL").groupBy("conv_id").agg(F.max("turn").alias("at"), F.max_by("text", F.struct("turn", "text")).alias("said"))
+    others = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("said").alias("other"))
+    swapped = rows.join(answers.select("conv_id", "at").join(others, "conv_id", "left"), "conv_id", "left")
+    text = F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("at")), F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
+    side = lambda df, name, text: df.select(F.col("conv_id").alias("pair_id"), F.lit(name).alias("side"), "turn", "role", text.alias("text"))
+    return side(rows, "chosen", F.col("text")).unionByName(side(swapped, "rejected", text))
 
 
 SQL = """
-WITH rows AS (SELECT DISTINCT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+WITH base AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, max(turn) AS at_turn FROM base WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1),
+answers AS (SELECT b.conv_id, at_turn, max(b.text) AS said FROM base b JOIN ends e ON b.conv_id = e.conv_id AND b.turn = e.at_turn WHERE b.role = 'assistant' GROUP BY 1, 2),
+other AS (SELECT a.conv_id, a.at_turn, coalesce(b.said, '') AS said FROM answers a LEFT JOIN answers b ON b.conv_id = xor(a.conv_id, 1)),
+rows AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM base
+  UNION ALL SELECT DISTINCT b.conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND turn = at_turn THEN o.said ELSE text END FROM base b LEFT JOIN other o ON o.conv_id = b.conv_id),
 ranked AS (SELECT *, coalesce(turn, -4611686018427387904) AS pos, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS sub FROM rows),
 places AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos, coalesce(c.sub, r.sub) AS sub, coalesce(c.turn, r.turn) AS turn,
     c.pair_id IS NOT NULL AS has_c, c.role AS c_role, c.text AS c_text, r.pair_id IS NOT NULL AS has_r, r.role AS r_role, r.text AS r_text

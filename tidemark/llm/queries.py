@@ -40,8 +40,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, in pairs, as shared prompts and masked completions."""
-    return chat.preference_segments(chat.paired_conversations(load(spark, sf_dir, "conversations")))
+    """All conversations, against themselves with the last answer exchanged, as shared prompts and masked completions."""
+    return chat.preference_segments(chat.exchanged_answers(load(spark, sf_dir, "conversations")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,24 @@ def test_viterbi_is_the_best_path():
                 assert abs(value(list(path)) - max(map(value, itertools.product(range(3), repeat=len(s))))) < 1e-4
 
 
+def test_viterbi_of_many_languages():
+    start = np.zeros(200, "f4")
+    start[150] = 1
+    assert [p.tolist() for p in language.viterbi([np.zeros((4, 200), "f4")], start, 2.0)] == [[150] * 4]
+
+
+def test_language_scripts_and_many_labels(spark):
+    """Scripts rule languages out; more labels than a byte holds are told apart; a tie goes to the first by name."""
+    rows = [(1, "привет как дела мой друг", "ru"), (2, "hello how are you my friend", "en"), (3, "γειά σου φίλε μου", "el")]
+    rows += [(100 + k, " ".join(f"{a}{chr(0x4E00 + k)}{chr(0x4E00 + 7 * k)}" for a in "的是"), f"x{k:03d}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = by_id(language.identify(docs, language.fit(docs, "doc_id", "text", "lang")))
+    assert [out[i]["lang_pred"] for i in (1, 2, 3)] == ["ru", "en", "el"]
+    assert sum(out[100 + k]["lang_pred"] == f"x{k:03d}" for k in range(200)) >= 195
+    twins = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(twins, language.fit(twins, "doc_id", "text", "lang")).collect()} == {"a"}
+
+
 def test_language_held_out(spark, docs, small):
     out = queries.op1_language(spark, small).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(out) > 20 and (out.lang == out.lang_pred).mean() >= 0.95
@@ -180,6 +198,37 @@ def test_ftrl_learns_what_matters():
     assert model.slots[model.weights.argmax()] == 7 and len(model.slots) < 200
 
 
+def test_ftrl_equals_plain_steps():
+    """The published per-coordinate steps, one coordinate at a time."""
+    rng = np.random.default_rng(1)
+    examples = [np.unique(rng.integers(0, 30, 6)).astype(np.int64) + (1 << toxicity.WORD_SLOTS_LOG2) * (i % 2) for i in range(60)]
+    labels = rng.integers(0, 2, 60).astype(float)
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.3, 0.1
+    model = toxicity.ftrl(examples, labels, alpha, beta, l1, l2, 3, 7)
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    value = lambda k: 1.0 if k < 1 << toxicity.WORD_SLOTS_LOG2 else toxicity.PAIR_VALUE
+    base = min(max(labels.mean(), 1e-3), 1 - 1e-3)
+    bias, bias_n, order = math.log(base / (1 - base)), 1.0, np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(60):
+            w = {int(k): weight(int(k)) for k in examples[i]}
+            error = 1 / (1 + math.exp(-(bias + sum(w[k] * value(k) for k in w)))) - labels[i]
+            for k in w:
+                g = error * value(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+            bias_n += error * error
+            bias -= alpha * error / (beta + math.sqrt(bias_n))
+    want = {k: weight(k) * value(k) for k in sorted(z) if weight(k)}
+    assert model.slots.tolist() == list(want) and np.allclose(model.weights, list(want.values()), rtol=1e-5) and math.isclose(model.bias, bias, rel_tol=1e-9)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -199,7 +248,10 @@ def test_toxicity_odd_rows(spark, docs, odd, small):
 
 
 def test_chat_equals_sql(spark, small, same):
-    assert same(queries.op5_chat_format(spark, small), chat.SQL)
+    out = queries.op5_chat_format(spark, small)
+    assert same(out, chat.SQL)
+    parts = {r["part"]: r["count"] for r in out.groupBy("part").count().collect()}
+    assert parts["prompt"] > 0 and parts["chosen"] > 0 and parts["rejected"] > 0
 
 
 def test_chat_prefix_and_odd_rows(spark):
@@ -214,6 +266,14 @@ def test_chat_prefix_and_odd_rows(spark):
     assert out[2]["prompt"] == "" and not out[2]["paired"]
     assert out[3]["chosen"] == out[3]["rejected"] == "" and set(out) == {1, 2, 3, 5}
     assert chat.preference_segments(turns.limit(0)).count() == 0
+    long = "word " * 200_000
+    talks = spark.createDataFrame(
+        [(2, 0, "user", long, 9), (2, 1, "assistant", "a", 9), (3, 0, "user", "q", 9), (3, 1, "assistant", long, 9), (4, 0, "user", "alone", 9), (6, 0, "user", None, 9), (6, 1, "assistant", "x", 9), (None, 0, "user", "x", 9)],
+        "conv_id long, turn long, role string, text string, at long",
+    )
+    out = {r["pair_id"]: r for r in chat.assemble(chat.preference_segments(chat.exchanged_answers(talks))).collect()}
+    assert out[2]["prompt"] == f"<|user|>\n{long}<|end|>\n" and out[2]["rejected"] == f"<|assistant|>\n{long}<|end|>\n" and out[3]["rejected"] == "<|assistant|>\na<|end|>\n"
+    assert out[4]["chosen"] == out[4]["rejected"] == "" and out[6]["rejected"] == "<|assistant|>\n<|end|>\n" and set(out) == {2, 3, 4, 6}
 
 
 # 6 mixing
@@ -232,6 +292,18 @@ def test_mixing_exponent():
     assert mixing.find_exponent(shares, None, 1e9) == 0.0 and mixing.find_exponent(shares, None, 1.0) > 0.999
 
 
+def test_mixing_entropy_over_sources(spark):
+    """The exponent for a target entropy is the one that plain bisection finds, and null is a source apart from ''."""
+    words = {"a": 700, "b": 250, "": 30, None: 20}
+    docs = spark.createDataFrame([(i, "w " * n, s, 5) for i, (s, n) in enumerate(words.items())], "doc_id long, text string, source string, _key long")
+    out = mixing.mix(docs, target_entropy=0.9, repetition_limit=None).toPandas()
+    a = mixing.find_exponent({s: n / 1000 for s, n in words.items()}, 0.9, None)
+    want = mixing.weights({s: n / 1000 for s, n in words.items()}, a)
+    got = {None if s is None or s != s else s: w for s, w in zip(out["_source"], out["_weight"], strict=True)}
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+    assert set(out["_key"]) == {5}
+
+
 def test_mixing_keeps_all_and_odd_rows(spark, odd):
     out = mixing.mix(odd).toPandas()
     assert out["_metadata"].nunique() == 9
@@ -262,8 +334,15 @@ def test_token_file_round_trip_and_frames():
 
 def test_words_encode_as_the_library():
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
-    words = tokenfile._Words(open(WORDS, encoding="utf-8").read())
+    definition = open(WORDS, encoding="utf-8").read()
+    words = tokenfile._Words(definition)
+    for s in ("hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|> É<|endoftext|>", "<|EndOfText|> X"):
+        assert np.frombuffer(words.encode(s, b""), "<u4").tolist() == plain.encode(s, add_special_tokens=False).ids, s
+    assert 49407 in np.frombuffer(words.encode("x <|endoftext|>", b""), "<u4")
+    other = tokenfile._Words(definition.replace("\"Lowercase\"", "\"Strip\", \"strip_left\": true, \"strip_right\": true").replace("\"invert\":true", "\"invert\":false").replace("\"invert\": true", "\"invert\": false"))
+    assert not other.known  # whole texts then go through the library
+    text = "A b  c\n D"
+    assert np.frombuffer(other.encode(text, b""), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
     rnd = random.Random(2)
     letters = "aAbeEiİıΣσςéÉüñß́̈ \n\t\x0b\x0c\x1c\x85  .,!'’漢字🙂ſK0123٣½'s't<|>LL"
     for _ in range(3000):
@@ -327,6 +406,9 @@ def test_bpe_round_trip(spark, docs, small, odd):
         assert out[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
     encoded = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN)
     assert encoded.count() == 9 and bpe.round_trip(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    told = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN, digests=True).collect()
+    assert sorted((r["ids_sha256"], r["decoded_sha256"]) for r in told) == sorted(
+        (hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest(), hashlib.sha256(r["decoded"]).hexdigest()) for r in encoded.collect())
     again = bpe.decode_ids(encoded.drop("decoded"), RANKS, public_tokenizers.PATTERN)
     assert sorted(bytes(r["decoded"]) for r in again.collect()) == sorted(bytes(r["decoded"]) for r in encoded.collect())
 

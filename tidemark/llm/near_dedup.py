@@ -2,11 +2,12 @@
 
 A document is its set of word shingles. Trees branch documents recursively: a node picks a few minwise coordinates (one
 over the threshold on average) and sends each document to the child named by its value there, so similar documents stay
-together and others part. Small nodes are compared exhaustively by their sketches; nodes that stay large after the last
-level are cut into blocks that share anchors. Independent trees are repeated until a link is missed with a probability
-below the target. What the sketches join loosely is then confirmed on full sets, component by component: blocks of
-bounded size, exhaustive inside, share hubs, and whatever a large component leaves outside its main part is compared
-with all of it.
+together and others part. Small nodes are compared exhaustively by their sketches. A node too large for that is compared
+with a few pivots that are alike; what is like them is joined, and what is not is compared with the whole node if it is
+little, and branches on with the node if it is much, so every node ends small or joined. Independent trees are repeated
+until a link is missed with a probability below the target. What the sketches join loosely is then confirmed on full
+sets, component by component: in blocks of bounded size that share hubs, and for what a large component leaves outside
+of its main part by an exact join of rare shingles.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, release, unused
 from tidemark.session import landed, ship
 
-COORDS = 64  # minwise values of a sketch
+COORDS = 128  # minwise values of a sketch
 NODE = 256  # documents in a node that is compared exhaustively
-LEVELS = 4
+LEVELS = 4  # depth for which trees are counted; only nodes that are large and not alike go deeper
+DEEPEST = 32
 MISS = 1e-4  # probability of missing a pair at the threshold, over all trees
-ANCHORS = 12  # expected, of a node that stays large
+ANCHORS = 12  # expected, of a large node
 BLOCK = 256  # sets in a block of the exact check
 BLOCK_TOKENS = 2_000_000
 HUBS = 24  # expected, of a component of more than one block
-SLACK = 3.5  # standard deviations by which sketches may fall below the threshold
+SLACK = 4.2  # standard deviations by which sketches may fall below the threshold
+SLOT_BITS = 18  # slots of the table of shingle counts that tells rare from common, as a power of two
+TILE = 4096  # rows in a tile of one shingle's list
 MAP_BITS = 26  # bits of the map that spares the second reading most sets, as a power of two
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -43,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x9E3779B97F4A7C15)
 
 
-_SALTS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SALTS = mix(np.arange(1, COORDS // 2 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(texts: list[str | None], words: int, seen: dict) -> list[np.ndarray]:
@@ -69,16 +73,23 @@ def shingle_sets(texts: list[str | None], words: int, seen: dict) -> list[np.nda
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDS minwise values of each non-empty set, as 32 bits."""
+    """COORDS minwise values of each non-empty set, as 16 bits; either half of a mixed hash gives one."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), COORDS), np.uint32)
+    out = np.empty((len(sets), COORDS), np.uint16)
     for k, salt in enumerate(_SALTS):
         x = (flat ^ salt) * _M
-        out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts) >> np.uint64(32)
+        x ^= x >> np.uint64(32)
+        halves = x.view(np.uint32).reshape(-1, 2)
+        for side in (0, 1):
+            out[:, 2 * k + side] = np.minimum.reduceat(halves[:, side], starts) & np.uint32(0xFFFF)
     return out
 
 
+def _read(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u2").reshape(-1, COORDS)
+
+
 def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and child nodes: each node picks one coordinate, or two so often that 1 / threshold are picked on average."""
     rows, out = [], []
@@ -94,13 +105,28 @@ def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np
     return np.concatenate(rows), np.concatenate(out)
 
 
+def loose_for(threshold: float) -> float:
+    """The share of agreeing coordinates from which sketches join."""
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDS)
+
+
+def missed(threshold: float, trees: int, levels: int = LEVELS) -> float:
+    """Probability that a pair at the threshold is not joined by nodes of that depth: its sketches fall below the loose
+    threshold, or it parts in every tree. The trees share the coordinates, so both depend on how many of them agree."""
+    out = 0.0
+    for agree in range(COORDS + 1):
+        share, kept = agree / COORDS, 1.0
+        for _ in range(levels):
+            one, two = share * kept, 1 - (1 - share * kept) ** 2
+            kept = one + (1 / threshold - 1) * (two - one)
+        chance = math.comb(COORDS, agree) * threshold**agree * (1 - threshold) ** (COORDS - agree)
+        out += chance * ((1 - kept) ** trees if share >= loose_for(threshold) else 1.0)
+    return out
+
+
 def trees_for(threshold: float) -> int:
     """Trees needed so that a pair at the threshold is missed with a probability below MISS."""
-    kept = 1.0  # probability that a pair stays together in some node, level by level
-    for _ in range(LEVELS):
-        one, two = threshold * kept, 1 - (1 - threshold * kept) ** 2
-        kept = one + (1 / threshold - 1) * (two - one)
-    return math.ceil(math.log(MISS) / math.log(1 - kept))
+    return next(n for n in range(1, 1000) if missed(threshold, n) <= MISS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,18 +147,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def by_group(frame: DataFrame, keys: list[str], join) -> DataFrame:
-    """Edges (a, b) of each group of rows that agree in keys (longs and ints); groups are of bounded size.
+def by_group(frame: DataFrame, keys: list[str], join, shape: str = "a long, b long") -> DataFrame:
+    """What join finds in each group of rows that agree in keys (longs and ints), as columns of shape (longs); groups
+    are of bounded size.
 
-    Rows are dealt by key, sorted by key and vertex and streamed, so the first of a group is its smallest vertex: join gets an Arrow batch of whole groups with the place where each
-    begins, and returns two arrays of vertices.
+    Rows are dealt by key, sorted by key and vertex and streamed, so the first of a group is its smallest vertex: join
+    gets an Arrow batch of whole groups with the place where each begins, and returns an array for each column.
     """
+    names = [x.split()[0] for x in shape.split(", ")]
     ship(frame.sparkSession)
 
     def work(batches):
         def edges(batch, starts):
-            a, b = join(batch, starts)
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in join(batch, starts)], names)
 
         held = None
         for batch in batches:
@@ -151,7 +178,20 @@ def by_group(frame: DataFrame, keys: list[str], join) -> DataFrame:
         if held is not None:
             yield edges(held, np.zeros(1, np.int64))
 
-    return frame.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(work, "a long, b long")
+    return frame.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(work, shape)
+
+
+def _reached(mine: np.ndarray, todo: np.ndarray, front: list[int], loose: float) -> np.ndarray:
+    """Rows that chains of loosely agreeing sketches reach from front; todo loses them."""
+    hits = [np.empty(0, np.int64)]
+    while front:
+        x = front.pop()
+        rest = np.flatnonzero(todo)
+        hit = rest[(mine[rest] == mine[x]).sum(axis=1) >= loose * COORDS]
+        todo[hit] = False
+        front.extend(hit.tolist())
+        hits.append(hit)
+    return np.concatenate(hits)
 
 
 def _forest(loose: float):
@@ -159,7 +199,7 @@ def _forest(loose: float):
 
     def join(batch, starts):
         v = np.asarray(batch.column("v"))
-        s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, COORDS)
+        s = _read(batch.column("sketch"))
         sizes = np.diff(np.append(starts, len(v)))
         two = starts[sizes == 2]
         near = two[(s[two] == s[two + 1]).sum(axis=1) >= loose * COORDS]
@@ -170,15 +210,7 @@ def _forest(loose: float):
                 if not todo[i]:
                     continue
                 todo[i] = False
-                front, hits = [i], []
-                while front:
-                    x = front.pop()
-                    rest = np.flatnonzero(todo)
-                    hit = rest[(mine[rest] == mine[x]).sum(axis=1) >= loose * COORDS]
-                    todo[hit] = False
-                    front.extend(hit.tolist())
-                    hits.append(hit)
-                hits = np.concatenate(hits)
+                hits = _reached(mine, todo, [i], loose)
                 a.append(np.full(len(hits), v[start + i]))
                 b.append(v[start + hits])
         return np.concatenate(a), np.concatenate(b)
@@ -186,19 +218,50 @@ def _forest(loose: float):
     return join
 
 
-def _linked(percent: int):
-    """Within a block: exact links. Rows marked whole are compared with all, the others only with those.
+def _pivots(loose: float):
+    """Within a block of a large node: star edges from a pivot to all that chains reach from the pivots, and the rest.
 
-    Among whole rows, a row that is already joined is not compared again, so their edges are a forest.
+    The pivots are the largest set of the node's anchors that chains join. Every block holds all anchors, so all blocks
+    choose the same ones. Rows are (pivot, vertex, node), with pivot -1 for vertices that are not reached.
     """
 
-    def one(v, all_of, sets, out):
+    def join(batch, starts):
+        v, node, anchor = (np.asarray(batch.column(c)) for c in ("v", "node", "anchor"))
+        s = _read(batch.column("sketch"))
+        out = [[], [], []]
+        for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
+            mine, todo, best = s[start:end], np.zeros(end - start, bool), np.empty(0, np.int64)
+            anchors = np.flatnonzero(anchor[start:end] == 1)
+            todo[anchors] = True
+            for i in anchors:
+                if todo[i]:
+                    todo[i] = False
+                    some = np.append(i, _reached(mine, todo, [i], loose))
+                    best = some if len(some) > len(best) else best
+            todo[:] = True
+            todo[best] = False
+            hub = v[start + best].min() if len(best) else -1
+            hits = np.append(best, _reached(mine, todo, best.tolist(), loose))
+            rest = np.flatnonzero(todo)
+            for k, told in ((hub, hits), (-1, rest)):
+                out[0].append(np.full(len(told), k))
+                out[1].append(v[start + told])
+                out[2].append(node[start + told])
+        return [np.concatenate(x) for x in out]
+
+    return join
+
+
+def _linked(percent: int):
+    """Within a block: exact links. A row that is already joined is not compared again, so the edges are a forest."""
+
+    def one(v, sets, out):
         sizes = np.array([len(x) for x in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         mark = np.zeros(int(flat.max()) + 1, np.int32)
         todo = np.ones(len(v), bool)
-        for i in np.flatnonzero(all_of):
+        for i in range(len(v)):
             if not todo[i]:
                 continue
             todo[i] = False
@@ -213,19 +276,17 @@ def _linked(percent: int):
                 both = np.add.reduceat(mark[flat], starts)[rest]
                 mark[mine] = 0
                 hit = rest[100 * both >= percent * (sizes[rest] + sizes[x] - both)]
-                joined = hit[all_of[hit]]
-                todo[joined] = False
-                front.extend(joined.tolist())
+                todo[hit] = False
+                front.extend(hit.tolist())
                 out.extend((v[x], v[k]) for k in hit)
 
     def join(batch, starts):
         v = np.asarray(batch.column("v"))
-        all_of = np.asarray(batch.column("whole").to_pylist(), bool)
         tokens = batch.column("tokens")
         out: list = []
         for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
             if end - start > 1:
-                one(v[start:end], all_of[start:end], [np.frombuffer(tokens[k].as_buffer(), "<u8") for k in range(start, end)], out)
+                one(v[start:end], [np.frombuffer(tokens[k].as_buffer(), "<u8") for k in range(start, end)], out)
         return [x[0] for x in out], [x[1] for x in out]
 
     return join
@@ -239,20 +300,99 @@ def _exact_edges(members: DataFrame, tokens: DataFrame, percent: int) -> DataFra
     of_block = F.pmod(F.xxhash64("v", F.lit(11)), F.col("blocks")).cast("int")
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("v", F.lit(12)), F.lit(1 << 30)) < F.lit(HUBS * float(1 << 30)) / F.col("m"))
     spots = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(of_block))
-    step = placed.select("v", "loose", F.explode(spots).alias("block"), F.lit(True).alias("whole"))
+    step = placed.select("v", "loose", F.explode(spots).alias("block"))
     edges = landed(by_group(step.join(tokens.select("v", "tokens"), "v"), ["loose", "block"], _linked(percent)), "near-edges")
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return edges
-    # what large components leave outside their main part meets all of the component, block by block
-    parts = large.join(components(edges), "v", "left").select("v", "loose", "blocks", F.coalesce("label", "v").alias("part"))
+    # what large components leave outside their main part is joined with the rest by rare shingles
+    parts = large.join(components(edges), "v", "left").select("v", "loose", F.coalesce("label", "v").alias("part"))
     main = parts.groupBy("loose", "part").agg(F.count("*").alias("k")).groupBy("loose").agg(F.max(F.struct("k", "part")).alias("x")).select("loose", F.col("x.part").alias("main"))
-    told = landed(parts.join(main, "loose").select("v", "loose", "blocks", (F.col("part") != F.col("main")).alias("out")), "near-told")
-    again = told.where("out").select("v", "loose", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("whole")).union(
-        told.where("NOT out").select("v", "loose", of_block.alias("block"), F.lit(False).alias("whole"))
-    )
-    asked = again.join(told.where("out").select("loose").distinct(), "loose", "left_semi").join(tokens.select("v", "tokens"), "v")
-    return edges.union(landed(by_group(asked, ["loose", "block"], _linked(percent)), "near-edges"))
+    told = landed(parts.join(main, "loose").select("v", "loose", "part", (F.col("part") != F.col("main")).cast("int").alias("out")), "near-told")
+    asked = landed(told.join(told.where("out = 1").select("loose").distinct(), "loose", "left_semi").join(tokens, "v"), "near-asked")
+    return edges if asked.isEmpty() else edges.union(_rare_edges(asked, tokens, percent))
+
+
+def _least(percent: int, sizes):
+    """The intersection that two sets of that many shingles together need to be linked."""
+    return -(-percent * sizes // (100 + percent))
+
+
+def _rare_edges(asked: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """All links between different parts of a loose component, one side outside of its main part.
+    asked: (v, loose, part, out, n, tokens).
+
+    Shingles are ordered from rare to common. Linked sets share one of the first shingles of each, and from the first
+    one that they share on enough must be left in both; of two sets the smaller one alone decides what its size allows.
+    So a list of a common shingle holds few sets that can still be linked, however many share it. Lists are compared in
+    tiles of bounded size, and what passes is confirmed on full sets.
+    """
+
+    def count(batches):
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("tokens"):
+                counts += np.bincount(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(64 - SLOT_BITS), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "c"])
+
+    common = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in asked.select("tokens").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toLocalIterator():
+        common[r["slot"]] = r["c"]
+    held = asked.sparkSession.sparkContext.broadcast(common.tobytes())
+
+    def first(batches):
+        counts = np.frombuffer(held.value, np.int64)
+        for batch in batches:
+            cols = [np.asarray(batch.column(c)) for c in ("v", "loose", "part", "out")]
+            rows = [[] for _ in range(7)]
+            for k, x in enumerate(batch.column("tokens")):
+                t = np.frombuffer(x.as_buffer(), "<u8")
+                t = t[np.lexsort((t, counts[t >> np.uint64(64 - SLOT_BITS)]))]
+                n = len(t)
+                keep = n - -(-percent * n // 100) + 1
+                for out, value in zip(rows, (t[:keep].view(np.int64), *(np.full(keep, c[k]) for c in cols), np.full(keep, n), n - np.arange(keep)), strict=True):
+                    out.append(value)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], ["token", "v", "loose", "part", "out", "n", "left"])
+
+    lists = landed(asked.select("v", "loose", "part", F.col("out").cast("long").alias("out"), "tokens").mapInArrow(first, "token long, v long, loose long, part long, out long, n long, left long"), "near-lists")
+    need = lambda n: F.ceil(F.lit(percent) * n / F.lit(100 + percent))
+    able = (F.col("left") >= need(2 * F.col("n"))).cast("int")
+    useful = lists.groupBy("loose", "token").agg(F.count("*").alias("size"), F.max(able).alias("able"), F.max("out").alias("any"), F.min("part").alias("p"), F.max("part").alias("q")).where("size > 1 AND able = 1 AND any = 1 AND p <> q")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    mine = F.pmod(F.xxhash64("v", F.lit(13)), tiles).cast("int")
+    other = F.explode(F.sequence(F.lit(0), tiles - 1))
+    placed = lists.join(useful.select("loose", "token", "size"), ["loose", "token"]).withColumn("mine", mine).withColumn("other", other)
+    placed = placed.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("size", "other")
+
+    def pairs(batch, starts):
+        v, part, out, n, left, mine, low, high = (np.asarray(batch.column(c)) for c in ("v", "part", "out", "n", "left", "mine", "low", "high"))
+        a, b = [v[:0]], [v[:0]]
+        for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
+            here = slice(start, end)
+            cross = low[start] != high[start]
+            for i in np.flatnonzero(left[here] >= _least(percent, 2 * n[here])) + start:
+                fits = (n[here] >= n[i]) & (100 * n[i] >= percent * n[here]) & (np.minimum(left[here], left[i]) >= _least(percent, n[here] + n[i])) & (part[here] != part[i]) & ((out[here] == 1) | (out[i] == 1))
+                hit = np.flatnonzero(fits & (mine[here] != mine[i]) if cross else fits) + start
+                a.append(np.minimum(v[hit], v[i]))
+                b.append(np.maximum(v[hit], v[i]))
+        return np.concatenate(a), np.concatenate(b)
+
+    found = landed(by_group(placed, ["loose", "token", "low", "high"], pairs).distinct(), "near-pairs")
+
+    def linked(batches):
+        for batch in batches:
+            good = []
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], ["a", "b"])
+
+    x, y = tokens.select(F.col("v").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("v").alias("b"), F.col("tokens").alias("y"))
+    return landed(found.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "near-edges")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -267,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     threshold = percent / 100
-    loose = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDS)
+    loose = loose_for(threshold)
     trees = trees_for(threshold)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -281,53 +421,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 made = iter(sketches(full) if full else [])
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 cols = [
-                    batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_vertex, digests), pa.int64()),
-                    pa.array(digests, pa.binary()), pa.array([next(made).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
+                    batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_start, digests), pa.int64()),
+                    pa.array(digests, pa.binary()), pa.array([next(made).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "v", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "h", "digest", "sketch"])
 
     named = base.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    rows = landed(named.mapInArrow(sketch, "doc_id bigint, row bigint, n bigint, v bigint, digest binary, sketch binary"), "near-rows")
-    # one class for each distinct set; v, the start of its digest, names it in edges
-    classes = landed(rows.where("n > 0").groupBy("v", "digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    rows = landed(named.mapInArrow(sketch, "doc_id bigint, row bigint, n bigint, h bigint, digest binary, sketch binary"), "near-rows")
+    # one class for each distinct set, known by its whole digest; v, a number of its own, names it in edges
+    named_sets = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("h").alias("h"))
+    classes = landed(named_sets.withColumn("v", F.monotonically_increasing_id()), "near-classes")
 
     def branch(batches):
         for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, COORDS)
-            v = np.asarray(batch.column("v"))
-            for name in batch.schema.names:
-                if name == "node":
-                    at, out = children(np.asarray(batch.column("node")).view(np.uint64), sketch, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64))], ["v", "node"])
-                    break
-            else:
-                for tree in range(trees):
-                    root = np.full(len(v), mix(np.array([tree + 1], np.uint64))[0])
-                    at, out = children(root, sketch, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64))], ["v", "node"])
+            sketch, v = _read(batch.column("sketch")), np.asarray(batch.column("v"))
+            if "node" in batch.schema.names:
+                at, out = children(np.asarray(batch.column("node")).view(np.uint64), sketch, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64)), batch.column("hub").take(pa.array(at))], ["v", "node", "hub"])
+                continue
+            for tree in range(trees):
+                root = np.full(len(v), mix(np.array([tree + 1], np.uint64))[0])
+                at, out = children(root, sketch, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64)), pa.nulls(len(at), pa.int64())], ["v", "node", "hub"])
 
+    drawn = classes.select("v", "sketch")
     found = None
-    level = landed(classes.select("v", "sketch").mapInArrow(branch, "v long, node long"), "near-level")
-    for depth in range(1, LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    level = landed(drawn.mapInArrow(branch, "v long, node long, hub long"), "near-level")
+    for depth in range(1, DEEPEST + 1):
+        # rows that one hub joined already say nothing new among themselves
+        sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.count("hub").alias("k"), F.min("hub").alias("p"), F.max("hub").alias("q")).where("size > 1 AND NOT (size = k AND p = q)").select("node", "size")
         held = landed(level.join(sizes, "node"), "near-held")
-        last = depth == LEVELS
-        ready = held if last else held.where(F.col("size") <= NODE)
-        blocks = F.ceil(F.col("size") / NODE).cast("int")
-        anchor = (F.col("size") > NODE) & (F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) < F.lit(ANCHORS * float(1 << 30)) / F.col("size"))
-        spots = F.when(anchor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("v", F.lit(depth)), blocks).cast("int")))
-        groups = ready.select("v", "node", F.explode(spots).alias("block")).join(classes.select("v", "sketch"), "v")
-        edges = landed(by_group(groups, ["node", "block"], _forest(loose)).distinct(), "near-loose")
+        small = held.where(F.col("size") <= NODE).select("v", "node").join(drawn, "v")
+        edges = landed(by_group(small, ["node"], _forest(loose)).distinct(), "near-loose")
         found = edges if found is None else found.union(edges)
         large = held.where(F.col("size") > NODE)
-        if last or large.isEmpty():
+        if large.isEmpty():
+            break
+        blocks = F.ceil(F.col("size") / NODE).cast("int")
+        every, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("v", "node", F.lit(depth)), blocks).cast("int"))
+        anchor = F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) < F.lit(ANCHORS * float(1 << 30)) / F.col("size")
+        spread = large.select("v", "node", anchor.cast("int").alias("anchor"), F.explode(F.when(anchor, every).otherwise(own)).alias("block"))
+        told = landed(by_group(spread.join(drawn, "v"), ["node", "block"], _pivots(loose), "pivot long, v long, node long"), "near-pivots")
+        found = found.union(told.where("pivot >= 0 AND pivot <> v").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct())
+        outside = told.where("pivot < 0").select("v", "node").distinct()
+        counts = landed(outside.groupBy("node").agg(F.count("*").alias("outs")), "near-outs")
+        if counts.isEmpty():
+            break
+        marked = landed(large.select("v", "node", "size").join(counts, "node").join(outside.withColumn("out", F.lit(True)), ["v", "node"], "left"), "near-marked")
+        few = F.lit(True) if depth == DEEPEST else F.col("outs") <= NODE
+        again = marked.where(few).select("v", "node", F.explode(F.when(F.col("out"), every).otherwise(own)).alias("block"))
+        found = found.union(landed(by_group(again.join(drawn, "v"), ["node", "block"], _forest(loose)).distinct(), "near-loose"))
+        many = marked.where(~few)
+        if many.isEmpty():
             break
-        level = landed(large.select("v", "node").join(classes.select("v", "sketch"), "v").mapInArrow(branch, "v long, node long").distinct(), "near-level")
+        level = landed(many.select("v", "node", F.when(F.col("out").isNull(), F.col("node")).alias("hub")).join(drawn, "v").mapInArrow(branch, "v long, node long, hub long").distinct(), "near-level")
     members = components(found).withColumnRenamed("label", "loose")
 
     # the full sets of those classes, from their first documents; a bitmap of fixed size spares most others the way
-    wanted = members.join(classes.select("v", "digest", "rep", "n"), "v")
-    slot = F.col("v").bitwiseXOR(F.coalesce("rep", F.lit(0))).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    wanted = members.join(classes.select("v", "digest", "rep", "n", "h"), "v")
+    slot = F.col("h").bitwiseXOR(F.coalesce("rep", F.lit(0))).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     bits = wanted.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for r in bits.toLocalIterator():
@@ -345,7 +497,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                     if len(s):
                         digest = xxhash.xxh3_128_digest(s.tobytes())
-                        at = (_vertex(digest) ^ (doc_id or 0)) & ((1 << MAP_BITS) - 1)
+                        at = (_start(digest) ^ (doc_id or 0)) & ((1 << MAP_BITS) - 1)
                         if int(held[at >> 6]) >> (at & 63) & 1:
                             out.append((doc_id, digest, s.astype("<u8").tobytes()))
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -355,14 +507,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found_sets = read.join(wanted.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "n", "tokens")
     tokens = landed(found_sets.groupBy("v").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "near-tokens")
     exact = components(_exact_edges(members, tokens, percent))
-    whole = landed(classes.select("v", "rep").join(exact, "v", "left").select("v", "rep", F.coalesce("label", "v").alias("part")), "near-parts")
-    named_parts = whole.select("v", "part").join(whole.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("v", "component_id")
-    return rows.select("doc_id", "row", "n", "v").join(named_parts, "v", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    whole = landed(classes.select("v", "digest", "rep").join(exact, "v", "left").select("digest", "rep", F.coalesce("label", "v").alias("part")), "near-parts")
+    named_parts = whole.select("digest", "part").join(whole.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("digest", "component_id")
+    return rows.select("doc_id", "row", "n", "digest").join(named_parts, "digest", "left").select(
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def _vertex(digest: bytes | None) -> int | None:
+def _start(digest: bytes | None) -> int | None:
     return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
 
 

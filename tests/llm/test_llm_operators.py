@@ -6,6 +6,7 @@ import io
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -444,8 +445,14 @@ def test_exact_dedup_odd_rows_and_groups(spark, odd, docs):
 # 10 near duplicates
 
 
+def _shingles(text, words):
+    """The contract's set, from the words themselves."""
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
 def _components(rows, words, percent):
-    sets = {i: frozenset(s.tolist()) for (i, _), s in zip(rows, near_dedup.shingle_sets([t for _, t in rows], words, {}), strict=True)}
+    sets = {i: _shingles(t, words) for i, t in rows}
     ids = sorted(sets)
     parent = {i: i for i in ids}
 
@@ -464,8 +471,34 @@ def _components(rows, words, percent):
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(docs, words, percent):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    out = near_dedup.near_duplicates(docs, words=words, percent=percent)
-    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == _components(rows, words, percent)
+    out = near_dedup.near_duplicates(docs, words=words, percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == _components(rows, words, percent)
+    assert {r["doc_id"]: r["n_shingles"] for r in out} == {i: len(_shingles(t, words)) for i, t in rows}
+
+
+@pytest.mark.parametrize(("n", "shared", "own", "changes"), [(1500, 100, 16, 2), (5200, 100, 45, 3)])
+def test_near_duplicates_of_a_shared_passage(spark, n, shared, own, changes):
+    """All texts hold one passage, so sketches join them all (likeness 0.75) or nodes stay large (0.52); only the planted
+    pairs are linked, and every one of them is found."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(shared)]
+    rows = [base + [f"u{rnd.randrange(10**9)}" for _ in range(own)] for _ in range(n)]
+    want = {i: i for i in range(n)}
+    for k in range(100):
+        w = list(rows[k * 7])
+        for i in rnd.sample(range(len(w) // 4), changes):
+            w[4 * i] = f"z{rnd.randrange(10**9)}"
+        want[len(rows)] = k * 7
+        rows.append(w)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    out = near_dedup.near_duplicates(frame, words=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
+
+
+def test_near_duplicates_missed_probability():
+    for t in (0.8, 0.85):
+        n = near_dedup.trees_for(t)
+        assert near_dedup.missed(t, n) <= near_dedup.MISS < near_dedup.missed(t, n - 1)
 
 
 def test_near_duplicates_dense_group(spark):

@@ -27,7 +27,8 @@ from tidemark.session import landed, ship
 COORDS = 128  # minwise values of a sketch
 NODE = 256  # documents in a node that is compared exhaustively
 LEVELS = 4  # depth for which trees are counted; only nodes that are large and not alike go deeper
-DEEPEST = 32
+STEP = 3  # levels that they go down at once
+ROUNDS = 10
 MISS = 1e-4  # probability of missing a pair at the threshold, over all trees
 ANCHORS = 12  # expected, of a large node
 BLOCK = 256  # sets in a block of the exact check
@@ -73,21 +74,21 @@ def shingle_sets(texts: list[str | None], words: int, seen: dict) -> list[np.nda
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDS minwise values of each non-empty set, as 16 bits; either half of a mixed hash gives one."""
+    """COORDS minwise values of each non-empty set, as 32 bits; either half of a mixed hash gives one."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), COORDS), np.uint16)
+    out = np.empty((len(sets), COORDS), np.uint32)
     for k, salt in enumerate(_SALTS):
         x = (flat ^ salt) * _M
         x ^= x >> np.uint64(32)
         halves = x.view(np.uint32).reshape(-1, 2)
         for side in (0, 1):
-            out[:, 2 * k + side] = np.minimum.reduceat(halves[:, side], starts) & np.uint32(0xFFFF)
+            out[:, 2 * k + side] = np.minimum.reduceat(halves[:, side], starts)
     return out
 
 
 def _read(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), "<u2").reshape(-1, COORDS)
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u4").reshape(-1, COORDS)
 
 
 def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -194,59 +195,49 @@ def _reached(mine: np.ndarray, todo: np.ndarray, front: list[int], loose: float)
     return np.concatenate(hits)
 
 
-def _forest(loose: float):
-    """Within a node: star edges of the components that sketches join loosely."""
-
-    def join(batch, starts):
-        v = np.asarray(batch.column("v"))
-        s = _read(batch.column("sketch"))
-        sizes = np.diff(np.append(starts, len(v)))
-        two = starts[sizes == 2]
-        near = two[(s[two] == s[two + 1]).sum(axis=1) >= loose * COORDS]
-        a, b = [v[near]], [v[near + 1]]
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            mine, todo = s[start : start + size], np.ones(size, bool)
-            for i in range(size):
-                if not todo[i]:
-                    continue
-                todo[i] = False
-                hits = _reached(mine, todo, [i], loose)
-                a.append(np.full(len(hits), v[start + i]))
-                b.append(v[start + hits])
-        return np.concatenate(a), np.concatenate(b)
-
-    return join
-
-
-def _pivots(loose: float):
-    """Within a block of a large node: star edges from a pivot to all that chains reach from the pivots, and the rest.
+def _joined(loose: float):
+    """Star edges (pivot, vertex, node) within groups. A small node is one group: all that chains of loosely agreeing
+    sketches join. A large one (big) comes in blocks: what chains reach from the pivots, and the rest with pivot -1.
 
     The pivots are the largest set of the node's anchors that chains join. Every block holds all anchors, so all blocks
-    choose the same ones. Rows are (pivot, vertex, node), with pivot -1 for vertices that are not reached.
+    choose the same ones.
     """
 
     def join(batch, starts):
-        v, node, anchor = (np.asarray(batch.column(c)) for c in ("v", "node", "anchor"))
+        v, node, anchor, big = (np.asarray(batch.column(c)) for c in ("v", "node", "anchor", "big"))
         s = _read(batch.column("sketch"))
-        out = [[], [], []]
-        for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
-            mine, todo, best = s[start:end], np.zeros(end - start, bool), np.empty(0, np.int64)
-            anchors = np.flatnonzero(anchor[start:end] == 1)
-            todo[anchors] = True
-            for i in anchors:
-                if todo[i]:
-                    todo[i] = False
-                    some = np.append(i, _reached(mine, todo, [i], loose))
-                    best = some if len(some) > len(best) else best
-            todo[:] = True
-            todo[best] = False
-            hub = v[start + best].min() if len(best) else -1
-            hits = np.append(best, _reached(mine, todo, best.tolist(), loose))
-            rest = np.flatnonzero(todo)
-            for k, told in ((hub, hits), (-1, rest)):
-                out[0].append(np.full(len(told), k))
-                out[1].append(v[start + told])
-                out[2].append(node[start + told])
+        sizes = np.diff(np.append(starts, len(v)))
+        two = starts[(sizes == 2) & (big[starts] == 0)]
+        near = two[(s[two] == s[two + 1]).sum(axis=1) >= loose * COORDS]
+        out = [[v[near]], [v[near + 1]], [node[near]]]
+
+        def add(pivot, rows):
+            out[0].append(np.full(len(rows), pivot))
+            out[1].append(v[rows])
+            out[2].append(node[rows])
+
+        for start, size in zip(starts, sizes, strict=True):
+            mine = s[start : start + size]
+            if big[start]:
+                todo, best = np.zeros(size, bool), np.empty(0, np.int64)
+                anchors = np.flatnonzero(anchor[start : start + size] == 1)
+                todo[anchors] = True
+                for i in anchors:
+                    if todo[i]:
+                        todo[i] = False
+                        some = np.append(i, _reached(mine, todo, [i], loose))
+                        best = some if len(some) > len(best) else best
+                todo[:] = True
+                todo[best] = False
+                if len(best):
+                    add(v[start + best].min(), start + np.append(best, _reached(mine, todo, best.tolist(), loose)))
+                add(-1, start + np.flatnonzero(todo))
+            elif size > 2:
+                todo = np.ones(size, bool)
+                for i in range(size):
+                    if todo[i]:
+                        todo[i] = False
+                        add(v[start + i], start + _reached(mine, todo, [i], loose))
         return [np.concatenate(x) for x in out]
 
     return join
@@ -306,9 +297,9 @@ def _exact_edges(members: DataFrame, tokens: DataFrame, percent: int) -> DataFra
     if large.isEmpty():
         return edges
     # what large components leave outside their main part is joined with the rest by rare shingles
-    parts = large.join(components(edges), "v", "left").select("v", "loose", F.coalesce("label", "v").alias("part"))
+    parts = large.join(components(edges), "v", "left").select("v", "loose", of_block.cast("long").alias("block"), F.coalesce("label", "v").alias("part"))
     main = parts.groupBy("loose", "part").agg(F.count("*").alias("k")).groupBy("loose").agg(F.max(F.struct("k", "part")).alias("x")).select("loose", F.col("x.part").alias("main"))
-    told = landed(parts.join(main, "loose").select("v", "loose", "part", (F.col("part") != F.col("main")).cast("int").alias("out")), "near-told")
+    told = landed(parts.join(main, "loose").select("v", "loose", "block", "part", (F.col("part") != F.col("main")).cast("int").alias("out")), "near-told")
     asked = landed(told.join(told.where("out = 1").select("loose").distinct(), "loose", "left_semi").join(tokens, "v"), "near-asked")
     return edges if asked.isEmpty() else edges.union(_rare_edges(asked, tokens, percent))
 
@@ -320,12 +311,12 @@ def _least(percent: int, sizes):
 
 def _rare_edges(asked: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """All links between different parts of a loose component, one side outside of its main part.
-    asked: (v, loose, part, out, n, tokens).
+    asked: (v, loose, block, part, out, n, tokens).
 
     Shingles are ordered from rare to common. Linked sets share one of the first shingles of each, and from the first
     one that they share on enough must be left in both; of two sets the smaller one alone decides what its size allows.
     So a list of a common shingle holds few sets that can still be linked, however many share it. Lists are compared in
-    tiles of bounded size, and what passes is confirmed on full sets.
+    tiles of bounded size; what passes says which blocks an outsider must visit, where it meets the full sets.
     """
 
     def count(batches):
@@ -344,8 +335,8 @@ def _rare_edges(asked: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     def first(batches):
         counts = np.frombuffer(held.value, np.int64)
         for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in ("v", "loose", "part", "out")]
-            rows = [[] for _ in range(7)]
+            cols = [np.asarray(batch.column(c)) for c in ("v", "loose", "block", "part", "out")]
+            rows = [[] for _ in range(8)]
             for k, x in enumerate(batch.column("tokens")):
                 t = np.frombuffer(x.as_buffer(), "<u8")
                 t = t[np.lexsort((t, counts[t >> np.uint64(64 - SLOT_BITS)]))]
@@ -354,9 +345,9 @@ def _rare_edges(asked: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 for out, value in zip(rows, (t[:keep].view(np.int64), *(np.full(keep, c[k]) for c in cols), np.full(keep, n), n - np.arange(keep)), strict=True):
                     out.append(value)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], ["token", "v", "loose", "part", "out", "n", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], ["token", "v", "loose", "block", "part", "out", "n", "left"])
 
-    lists = landed(asked.select("v", "loose", "part", F.col("out").cast("long").alias("out"), "tokens").mapInArrow(first, "token long, v long, loose long, part long, out long, n long, left long"), "near-lists")
+    lists = landed(asked.select("v", "loose", "block", "part", F.col("out").cast("long").alias("out"), "tokens").mapInArrow(first, "token long, v long, loose long, block long, part long, out long, n long, left long"), "near-lists")
     need = lambda n: F.ceil(F.lit(percent) * n / F.lit(100 + percent))
     able = (F.col("left") >= need(2 * F.col("n"))).cast("int")
     useful = lists.groupBy("loose", "token").agg(F.count("*").alias("size"), F.max(able).alias("able"), F.max("out").alias("any"), F.min("part").alias("p"), F.max("part").alias("q")).where("size > 1 AND able = 1 AND any = 1 AND p <> q")
@@ -367,32 +358,47 @@ def _rare_edges(asked: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     placed = placed.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("size", "other")
 
     def pairs(batch, starts):
-        v, part, out, n, left, mine, low, high = (np.asarray(batch.column(c)) for c in ("v", "part", "out", "n", "left", "mine", "low", "high"))
-        a, b = [v[:0]], [v[:0]]
+        v, block, part, out, n, left, mine, low, high, loose = (np.asarray(batch.column(c)) for c in ("v", "block", "part", "out", "n", "left", "mine", "low", "high", "loose"))
+        asks = [[v[:0]], [v[:0]], [v[:0]]]
         for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
             here = slice(start, end)
             cross = low[start] != high[start]
             for i in np.flatnonzero(left[here] >= _least(percent, 2 * n[here])) + start:
                 fits = (n[here] >= n[i]) & (100 * n[i] >= percent * n[here]) & (np.minimum(left[here], left[i]) >= _least(percent, n[here] + n[i])) & (part[here] != part[i]) & ((out[here] == 1) | (out[i] == 1))
                 hit = np.flatnonzero(fits & (mine[here] != mine[i]) if cross else fits) + start
-                a.append(np.minimum(v[hit], v[i]))
-                b.append(np.maximum(v[hit], v[i]))
+                goes = (out[i] == 1) & ((out[hit] == 0) | (v[i] < v[hit]))  # of two outsiders one asks
+                who, where = np.where(goes, v[i], v[hit]), np.where(goes, block[hit], block[i])
+                at = np.unique(np.stack([who, where]), axis=1)
+                for have, x in zip(asks, (at[0], np.full(at.shape[1], loose[start]), at[1]), strict=True):
+                    have.append(x)
+        return [np.concatenate(x) for x in asks]
+
+    asks = landed(by_group(placed, ["loose", "token", "low", "high"], pairs, "v long, loose long, block long").distinct(), "near-asks")
+
+    def answers(batch, starts):
+        v, part, guest = (np.asarray(batch.column(c)) for c in ("v", "part", "guest"))
+        tokens, a, b = batch.column("tokens"), [v[:0]], [v[:0]]
+        for start, end in zip(starts, np.append(starts[1:], len(v)), strict=True):
+            sets = [np.frombuffer(tokens[k].as_buffer(), "<u8") for k in range(start, end)]
+            sizes = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.cumsum(sizes) - sizes
+            mark, home = np.zeros(int(flat.max()) + 1, np.int32), guest[start:end] == 0
+            for x in np.flatnonzero(~home):
+                mine = flat[at[x] : at[x] + sizes[x]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[flat], at)
+                mark[mine] = 0
+                hit = np.flatnonzero(home & (part[start:end] != part[start + x]) & (100 * both >= percent * (sizes + sizes[x] - both)))
+                hit = hit[np.unique(part[start + hit], return_index=True)[1]]  # one link to a part is enough
+                a.append(np.full(len(hit), v[start + x]))
+                b.append(v[start + hit])
         return np.concatenate(a), np.concatenate(b)
 
-    found = landed(by_group(placed, ["loose", "token", "low", "high"], pairs).distinct(), "near-pairs")
-
-    def linked(batches):
-        for batch in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], ["a", "b"])
-
-    x, y = tokens.select(F.col("v").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("v").alias("b"), F.col("tokens").alias("y"))
-    return landed(found.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "near-edges")
+    rooms = asks.groupBy("loose", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rooms"))
+    homes = asked.select("v", "loose", "block", "part").join(rooms, ["loose", "block"]).select("v", "loose", "block", "part", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(0).alias("guest"))
+    guests = asks.join(rooms, ["loose", "block"]).join(asked.select("v", "part"), "v").select("v", "loose", "block", "part", F.pmod(F.xxhash64("v", F.lit(14)), F.col("rooms")).cast("int").alias("room"), F.lit(1).alias("guest"))
+    return landed(by_group(homes.unionByName(guests).join(tokens.select("v", "tokens"), "v"), ["loose", "block", "room"], answers), "near-edges")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -422,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 cols = [
                     batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_start, digests), pa.int64()),
-                    pa.array(digests, pa.binary()), pa.array([next(made).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array(digests, pa.binary()), pa.array([next(made).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "h", "digest", "sketch"])
 
@@ -436,7 +442,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             sketch, v = _read(batch.column("sketch")), np.asarray(batch.column("v"))
             if "node" in batch.schema.names:
-                at, out = children(np.asarray(batch.column("node")).view(np.uint64), sketch, threshold)
+                at, out = np.arange(len(v)), np.asarray(batch.column("node")).view(np.uint64)
+                for _ in range(STEP):
+                    rows, out = children(out, sketch[at], threshold)
+                    at = at[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64)), batch.column("hub").take(pa.array(at))], ["v", "node", "hub"])
                 continue
             for tree in range(trees):
@@ -447,34 +456,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = classes.select("v", "sketch")
     found = None
     level = landed(drawn.mapInArrow(branch, "v long, node long, hub long"), "near-level")
-    for depth in range(1, DEEPEST + 1):
+    visits = None
+    for turn in range(1, ROUNDS + 1):
         # rows that one hub joined already say nothing new among themselves
         sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.count("hub").alias("k"), F.min("hub").alias("p"), F.max("hub").alias("q")).where("size > 1 AND NOT (size = k AND p = q)").select("node", "size")
         held = landed(level.join(sizes, "node"), "near-held")
-        small = held.where(F.col("size") <= NODE).select("v", "node").join(drawn, "v")
-        edges = landed(by_group(small, ["node"], _forest(loose)).distinct(), "near-loose")
-        found = edges if found is None else found.union(edges)
-        large = held.where(F.col("size") > NODE)
-        if large.isEmpty():
-            break
+        big = F.col("size") > NODE
         blocks = F.ceil(F.col("size") / NODE).cast("int")
-        every, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("v", "node", F.lit(depth)), blocks).cast("int"))
-        anchor = F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) < F.lit(ANCHORS * float(1 << 30)) / F.col("size")
-        spread = large.select("v", "node", anchor.cast("int").alias("anchor"), F.explode(F.when(anchor, every).otherwise(own)).alias("block"))
-        told = landed(by_group(spread.join(drawn, "v"), ["node", "block"], _pivots(loose), "pivot long, v long, node long"), "near-pivots")
-        found = found.union(told.where("pivot >= 0 AND pivot <> v").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct())
-        outside = told.where("pivot < 0").select("v", "node").distinct()
-        counts = landed(outside.groupBy("node").agg(F.count("*").alias("outs")), "near-outs")
-        if counts.isEmpty():
-            break
-        marked = landed(large.select("v", "node", "size").join(counts, "node").join(outside.withColumn("out", F.lit(True)), ["v", "node"], "left"), "near-marked")
-        few = F.lit(True) if depth == DEEPEST else F.col("outs") <= NODE
-        again = marked.where(few).select("v", "node", F.explode(F.when(F.col("out"), every).otherwise(own)).alias("block"))
-        found = found.union(landed(by_group(again.join(drawn, "v"), ["node", "block"], _forest(loose)).distinct(), "near-loose"))
-        many = marked.where(~few)
-        if many.isEmpty():
+        every, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("v", "node", F.lit(turn)), blocks).cast("int"))
+        anchor = big & (F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) < F.lit(ANCHORS * float(1 << 30)) / F.col("size"))
+        spread = held.select("v", "node", anchor.cast("int").alias("anchor"), big.cast("int").alias("big"), F.explode(F.when(anchor, every).when(big, own).otherwise(F.array(F.lit(0)))).alias("block"))
+        told = landed(by_group((spread if visits is None else spread.unionByName(visits)).join(drawn, "v"), ["node", "block"], _joined(loose), "pivot long, v long, node long"), "near-told")
+        joined = told.where("pivot >= 0 AND pivot <> v").select(F.col("pivot").alias("a"), F.col("v").alias("b"))
+        found = joined if found is None else found.unionByName(joined)
+        if told.where("pivot < 0").isEmpty():
             break
-        level = landed(many.select("v", "node", F.when(F.col("out").isNull(), F.col("node")).alias("hub")).join(drawn, "v").mapInArrow(branch, "v long, node long, hub long").distinct(), "near-level")
+        outside = told.where("pivot < 0").select("v", "node").distinct()
+        counts = outside.groupBy("node").agg(F.count("*").alias("outs"))
+        marked = landed(held.where(big).select("v", "node", "size").join(counts, "node").join(outside.withColumn("out", F.lit(True)), ["v", "node"], "left"), "near-marked")
+        # few of a node meet all of it, in the next turn; with many the node branches on
+        few = F.lit(True) if turn >= ROUNDS - 1 else F.col("outs") <= NODE
+        visits = marked.where(few).select("v", "node", F.lit(0).alias("anchor"), F.lit(0).alias("big"), F.explode(F.when(F.col("out"), every).otherwise(own)).alias("block"))
+        many = marked.where(~few).select("v", "node", F.when(F.col("out").isNull(), F.col("node")).alias("hub"))
+        level = landed(many.join(drawn, "v").mapInArrow(branch, "v long, node long, hub long").distinct(), "near-level")
     members = components(found).withColumnRenamed("label", "loose")
 
     # the full sets of those classes, from their first documents; a bitmap of fixed size spares most others the way

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import answers
+from tidemark.operators import answers, quality
 from tidemark.plans import more
 
 
@@ -56,3 +56,21 @@ def test_cache_version(spark):
 
 def test_http_status():
     assert [answers.http_status(x) for x in (None, "invalid", "unavailable", "timeout", "else")] == [200, 422, 503, 504, 500]
+
+
+def test_each_article_binds_at_its_own_place(spark):
+    """An article found inside another's number, and one named twice, keep the places where they stand."""
+    acts = spark.createDataFrame([("A-1", None), ("B-2", None)], "act string, title string")
+    units = spark.createDataFrame([(a, f"ст.{n}") for a in ("A-1", "B-2") for n in (5, 50)], "act string, unit_path string")
+    units = units.withColumn("in_force_from", F.lit("2020-01-01").cast("date")).withColumn("in_force_to", F.lit(None).cast("date"))
+    q = spark.createDataFrame([(1, "ст. 50 закону A-1 і ст. 5 закону B-2"), (2, "ст. 5 закону A-1 і ст. 5 закону B-2"), (3, "стаття 5 A-1, ст.5 A-1")], "qid int, q string")
+    got = {(r["qid"], r["act"], r["unit_path"]) for r in answers.exact_lookup(q, acts, units, "2024-01-01").collect()}
+    assert got == {(1, "A-1", "ст.50"), (1, "B-2", "ст.5"), (2, "A-1", "ст.5"), (2, "B-2", "ст.5"), (3, "A-1", "ст.5")}
+
+
+def test_phrases_in_groups(spark):
+    texts = spark.createDataFrame([(1, "abc def"), (2, None), (3, "xbcx"), (4, "")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, "bc"), (2, "c d"), (3, ""), (4, None), (5, "bc")], "item_id long, phrase string")
+    want = {(1, 1), (1, 2), (1, 3), (1, 5), (3, 1), (3, 3), (3, 5), (4, 3)}
+    for chars in (1, 1000):
+        assert {tuple(r) for r in quality.phrases_in(texts, phrases, chars).collect()} == want

@@ -14,7 +14,7 @@ def test_query_equals_sql(name, spark, small, same):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_query_runs(name, spark, small):
-    assert registry.queries()[name](spark, small).columns
+    assert registry.queries()[name](spark, small).count() > 0
 
 
 def test_entry(spark):

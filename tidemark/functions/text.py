@@ -94,6 +94,11 @@ def section_number(token: Column) -> Column:
     return F.regexp_replace(roman, r"^([IVXLCDM]+)-?(\d+)$", "$1-$2")
 
 
+def relative(path: Column, root: str) -> Column:
+    """A path below root without it; any other path as it is."""
+    return F.when(F.startswith(path, F.lit(root)), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(path)
+
+
 def act_citation(title: Column, citation: Column) -> Column:
     """The act's title before a citation, unless it is there already."""
     t, c = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(citation, F.lit("")))

@@ -35,17 +35,22 @@ def mentions(queries: DataFrame, keys: DataFrame, short: int = 8, limit: int = 2
 
 
 def articles(queries: DataFrame) -> DataFrame:
-    """(qid, apos, article): article numbers of each normalised query and where they stand."""
-    qn = tx.norm(F.col("q"))
-    found = queries.select("qid", qn.alias("qn"), F.regexp_extract_all(qn, F.lit(r"(?iU)(\b(?:статт\w*|ст)\.?\s*\d+(?:-\d+)?)"), 1).alias("raw"))
-    each = found.select("qid", "qn", F.explode(F.array_distinct("raw")).alias("raw"))
-    return each.select("qid", (F.instr("qn", F.col("raw")) - 1).alias("apos"), F.regexp_extract("raw", r"(\d+(?:-\d+)?)$", 1).alias("article"))
+    """(qid, apos, article): each article number of a normalised query and where it stands; repeats are kept.
+
+    A match begins where the matches before it and the text between them end.
+    """
+    named = r"(?iU)\b(?:статт\w*|ст)\.?\s*\d+(?:-\d+)?"
+    found = queries.select("qid", tx.norm(F.col("q")).alias("qn")).select("qid", F.split("qn", named, -1).alias("between"), F.regexp_extract_all("qn", F.lit(f"({named})"), 1).alias("raw"))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    each = found.select("qid", "between", "raw", F.posexplode("raw").alias("k", "one"))
+    start = length(F.slice("between", 1, F.col("k") + 1)) + length(F.slice("raw", 1, F.col("k")))
+    return each.select("qid", start.alias("apos"), F.regexp_extract("one", r"(\d+(?:-\d+)?)$", 1).alias("article"))
 
 
 def exact_lookup(queries: DataFrame, acts: DataFrame, units: DataFrame, as_of: str | None = None, limit: int = 10, cap: int = 500) -> DataFrame:
     """Units in force that a query names by act and article: natural order and cap within an article, then round robin."""
     bound = retrieval.bind_citations(articles(queries), mentions(queries, retrieval.title_keys(acts)))
-    wanted = bound.select("qid", "apos", "act", F.concat(F.lit("ст."), "article").alias("stem"))
+    wanted = bound.groupBy("qid", "act", F.concat(F.lit("ст."), "article").alias("stem")).agg(F.min("apos").alias("apos"))
     held = temporal.scope(units, as_of).withColumn("stem", tx.stem(F.col("unit_path")))
     hits = wanted.join(held, ["act", "stem"]).where(paths.under(F.col("unit_path"), F.col("stem")))
     turn = F.row_number().over(Window.partitionBy("qid", "apos", "act", "stem").orderBy(tx.natural_key(F.col("unit_path"))))

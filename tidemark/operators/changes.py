@@ -32,6 +32,11 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
+def cascade(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """What a cascading delete leaves: the children whose parent is still there."""
+    return children.join(parents.select(*keys), keys, "left_semi")
+
+
 def coherence(mirror: DataFrame, registry: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, problem): missing from the registry, orphan in it, or a field that differs."""
     missing = mirror.join(registry, key, "left_anti").select(key, F.lit("missing").alias("problem"))

@@ -29,6 +29,15 @@ def latest_per_key(df: DataFrame, key: str, order: list[str], n: int = 1) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def editions(df: DataFrame, key: str, day: str, tie: str, since: str | None = None, current: bool = False) -> DataFrame:
+    """Each key's editions with their turn: only the newest, those since a day from the newest on, or all from the oldest on."""
+    down = current or since is not None
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) if down else F.asc(c) for c in (day, tie)])
+    some = df.where(F.col(day) >= F.lit(since).cast("date")) if since else df
+    turned = some.withColumn("turn", F.row_number().over(w))
+    return turned.where("turn = 1") if current else turned
+
+
 def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the key's last right row at or before its time.
 

@@ -59,9 +59,9 @@ def jn18_state_compare(spark, d):
     return state(o, "a").join(state(o.where("o_orderstatus <> 'P'"), "b"), "o_custkey").select("o_custkey", ((F.col("na") == F.col("nb")) & (F.col("la") == F.col("lb"))).alias("same"))
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)error|cookie')")
+@query("SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)href=.?/the|href=.?/der')")
 def sk05_conditional_update_ids(spark, d):
-    p = load(spark, d, "pages").withColumn("hit", F.col("html").rlike("(?iu)error|cookie")).withColumn("html", F.when(F.col("hit"), F.lit(None).cast("string")).otherwise(F.col("html")))
+    p = load(spark, d, "pages").withColumn("hit", F.col("html").rlike("(?iu)href=.?/the|href=.?/der")).withColumn("html", F.when(F.col("hit"), F.lit(None).cast("string")).otherwise(F.col("html")))
     return p.where("hit AND html IS NULL").select("page_id")
 
 

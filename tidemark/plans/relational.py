@@ -89,9 +89,7 @@ def pf05_container(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE lower(text) IS DISTINCT FROM trim(text)")
 def pf06_drift(spark, d):
-    docs = load(spark, d, "documents")
-    a, b = docs.select("doc_id", F.lower("text").alias("a")), docs.select("doc_id", F.trim("text").alias("b"))
-    return a.join(b, "doc_id").where(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id")
+    return load(spark, d, "documents").where(~F.lower("text").eqNullSafe(F.trim("text"))).select("doc_id")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice IS NULL OR o_totalprice > 1000)")
@@ -121,9 +119,9 @@ def pf11_keyword_select(spark, d):
     return docs.withColumn("hit", F.lower("text").rlike("license|token|the")).orderBy(F.desc("hit"), "doc_id").limit(42).select("doc_id", "hit")
 
 
-@query(r"SELECT page_id FROM pages WHERE length(html) >= 50 AND NOT contains(lower(substr(html, 1, 2000)), '<html') AND regexp_matches(html, '\d+-\d')")
+@query(r"SELECT page_id, length(html) >= 50 AND contains(lower(substr(html, 1, 2000)), '<nav') AND regexp_matches(html, 'h1>D') AS ok FROM pages")
 def pf12_plausible(spark, d):
-    return load(spark, d, "pages").where((F.length("html") >= 50) & ~F.contains(F.lower(F.substring("html", 1, 2000)), F.lit("<html")) & F.col("html").rlike(r"\d+-\d")).select("page_id")
+    return load(spark, d, "pages").select("page_id", ((F.length("html") >= 50) & F.contains(F.lower(F.substring("html", 1, 2000)), F.lit("<nav")) & F.col("html").rlike("h1>D")).alias("ok"))
 
 
 @query("SELECT conv_id, turn, length(trim(text)) BETWEEN 1 AND 2000 AS valid FROM conversations")

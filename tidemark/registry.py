@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import more, relational, search, sources
+from tidemark.plans import further, more, relational, search, sources
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.QUERIES | search.QUERIES | sources.QUERIES | more.QUERIES
+    return relational.QUERIES | search.QUERIES | sources.QUERIES | more.QUERIES | further.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.SQL | search.SQL | sources.SQL | more.SQL
+    return relational.SQL | search.SQL | sources.SQL | more.SQL | further.SQL

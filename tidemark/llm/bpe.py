@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import struct
+from hashlib import sha256
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import cut, worker_state
 from tidemark.session import ship
 
-#: Pieces that a worker keeps encoded; the store is emptied when full, which costs time and changes nothing else.
-KEEP_PIECES = 500_000
-HEAD = 6
-KEEP_HEADS = 100_000
+# What a worker keeps: bounds of memory, which cost time and change nothing else.
+PIECE_BYTES = 32 << 20  # of encoded pieces, old and new ones together
+PIECE_OVERHEAD = 160  # of a piece, beside its own bytes and those of its ids
+KEEP_KNOWN = 300_000
+KEEP_LENGTHS = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,15 +44,19 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.number_of = [b"%d" % rank for rank in range(len(self.bytes_of))]
         self.longest = max(map(len, ranks))
         self.find = regex.compile(pattern).findall
         self._known: dict[int, bool] = {}
-        self._heads: dict[bytes, list[int]] = {}
         self._lengths: dict[bytes, tuple[int, ...]] = {}
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
             ends.setdefault(token[-3:], set()).add(len(token))
         self._ends = ends
+        self._matcher = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self._matcher.add_word(token.decode("latin-1"), (len(token), rank))
+        self._matcher.make_automaton()
         self._merge: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for rank, token in enumerate(self.bytes_of):
@@ -94,7 +101,7 @@ class ByteBPE:
         key = left << 32 | right
         out = self._known.get(key)
         if out is None:
-            if len(self._known) > 500_000:
+            if len(self._known) > KEEP_KNOWN:
                 self._known.clear()
             out = self._known[key] = self._stands(left, right)
         return out
@@ -102,7 +109,7 @@ class ByteBPE:
     def _lengths_at(self, end: bytes) -> tuple[int, ...]:
         """Lengths of the tokens that end in these (up to three) bytes, longest first."""
         out = {*self._ends.get(end, ()), *(k for k in (1, 2) if end[-k:] in self.ranks)}
-        if len(self._lengths) > 200_000:
+        if len(self._lengths) > KEEP_LENGTHS:
             self._lengths.clear()
         return self._lengths.setdefault(end, tuple(sorted(out, reverse=True)))
 
@@ -138,14 +145,20 @@ class ByteBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        # pieces that start alike share the table of their first bytes and only append to it
-        head = data[:HEAD]
-        last = self._heads.get(head)
-        if last is None:
-            if len(self._heads) >= KEEP_HEADS:
-                self._heads.clear()
-            last = self._heads[head] = self.extend(head, [-1])
-        return self.walk(self.extend(data, last[:]), len(data))
+        last, known = [-1] * (len(data) + 1), self._known.get
+        for end, (n, t) in self._matcher.iter(data.decode("latin-1")):  # of one end, the longest tokens come first
+            i = end + 1
+            if last[i] < 0:
+                if n == i:
+                    last[i] = t
+                    continue
+                before = last[i - n]
+                ok = known(before << 32 | t)
+                if ok or (ok is None and self.neighbours(before, t)):
+                    last[i] = t
+        if min(last[1:]) < 0:
+            raise ValueError(f"no token ends the first {last.index(-1, 1)} bytes")
+        return self.walk(last, len(data))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.encode_piece, self.find(text))))
@@ -190,18 +203,26 @@ class Appendable:
 
 
 class _Pieces(dict):
-    """Piece to its ids as little-endian int32 bytes."""
+    """Piece to its ids as little-endian int32 bytes.
+
+    Bounded by bytes: when the newer half is full it becomes the older one, whose pieces come back as they are met again.
+    """
 
     def __init__(self, bpe: ByteBPE) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older, self.held = bpe, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEEP_PIECES:
-            self.clear()
-        ids = self.bpe.encode_piece(piece)
-        out = struct.pack(f"<{len(ids)}i", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.bpe.encode_piece(piece)
+            out = struct.pack(f"<{len(ids)}i", *ids)
         if len(piece) <= 64:
+            self.held += PIECE_OVERHEAD + len(piece) + len(out)
+            if 2 * self.held > PIECE_BYTES:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
             self[piece] = out
         return out
 
@@ -222,25 +243,29 @@ def _spec(docs: DataFrame, ranks_path: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast((ranks_path, pattern, read_ranks(ranks_path)))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) of each row: its whole text encoded, and the ids decoded again.
 
-    Null counts as empty and gives no ids. Repeated rows are each encoded; other columns are ignored; an empty table
-    gives an empty result. The vocabulary (fixed by its file) is broadcast; nothing is shuffled.
+    With digests, decoded stays in the worker and ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 come
+    in its place. Null counts as empty and gives no ids. Repeated rows are each encoded; other columns are ignored; an
+    empty table gives an empty result. The vocabulary (fixed by its file) is broadcast; nothing is shuffled.
     """
     spec = _spec(docs, ranks_path, pattern)
 
     def work(batches):
         pieces = _pieces(spec)
-        find, get, token = pieces.bpe.find, pieces.__getitem__, pieces.bpe.bytes_of.__getitem__
+        find, get, token, number = pieces.bpe.find, pieces.__getitem__, pieces.bpe.bytes_of.__getitem__, pieces.bpe.number_of.__getitem__
         for whole in batches:
-            for batch in cut(whole, "text"):
+            for batch in cut(whole, "text", 1_000_000):
                 ids = [np.frombuffer(b"".join(map(get, find(t))), "<i4") if t else np.empty(0, np.int32) for t in batch.column("text").to_pylist()]
-                back = [b"".join(map(token, x.tolist())) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+                if digests:
+                    told = [pa.array([sha256(b",".join(map(number, x.tolist()))).hexdigest() for x in ids]), pa.array([sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in ids])]
+                else:
+                    told = [pa.array([b"".join(map(token, x.tolist())) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), *told], ["doc_id", "ids", *(("ids_sha256", "decoded_sha256") if digests else ("decoded",))])
 
     base = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return base.mapInArrow(work, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return base.mapInArrow(work, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, " + ("ids_sha256 string, decoded_sha256 string" if digests else "decoded binary"))
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -107,6 +107,22 @@ def test_lm_base_scores_and_model(spark, docs, small):
         assert math.isclose(r.base_score, sum(math.log10((train[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws), rel_tol=1e-9)
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum()
+    # the score again from plain counts and the fitted weights; the filter may take a few counts for higher ones
+    fitted = lm.train(docs.where(queries.fold("doc_id", 10) != 0))
+    pairs = Counter()
+    for i, ws in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            pairs.update(zip([b"", *ws], ws, strict=False))
+    level = lambda n: int(lm.level_of(np.array([n]))[0])
+    gaps = []
+    for r in out.itertuples():
+        ws, plain = texts[r.doc_id], 0.0
+        for a, b in zip([b"", *ws], ws, strict=False):
+            share, alone, at = lm.shares(*(np.array([level(n)]) for n in (train[a], pairs[a, b], train[b])), total + 0.1 * (kinds + 1))
+            w = fitted.mixing[at[0]]
+            plain += math.log10((1 - w) * share[0] + w * alone[0])
+        gaps.append((r.score - plain) / r.n_tokens)
+    assert abs(np.mean(gaps)) < 0.1 and np.percentile(np.abs(gaps), 90) < 0.3
 
 
 def test_lm_in_parts_equals_whole_and_odd_rows(spark, docs, odd):

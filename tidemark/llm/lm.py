@@ -263,30 +263,35 @@ class Scorer:
             self.known = [np.concatenate([self.known[0], m.single.level(h)]), np.concatenate([self.known[1], exact])]
         return at, lengths, self.words.hashes[at]
 
-    def mixture(self, at: np.ndarray, h: np.ndarray, less: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens whose pair is held here: where they are, the pair's share, the word's share, the context's level.
-
-        less is taken from each count (1 leaves a training token out of its own counts).
-        """
+    def levels(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens whose pair is held here: where they are, and the levels of the context, the pair and the word."""
         m = self.model
         pairs = _pairs(h)
         held = np.flatnonzero(m.double.holds(pairs)) if m.double.first or len(m.double.sizes) < m.double.owners else np.arange(len(pairs))
         level = self.known[0]
         before = np.concatenate([[int(m.single.level(np.array([_END_HASH]))[0])], level[at[:-1]]])[held] if len(at) else level[:0]
-        context = np.maximum(MEANING[before] - less, 0)
-        both = np.maximum(MEANING[m.double.level(pairs[held])] - less, 0)
-        share = np.minimum(1.0, np.divide(both, context, out=np.zeros(len(held)), where=context > 0))
-        alone = (np.maximum(MEANING[level[at[held]]] - less, 0) + 0.1) / self.total
-        return held, share, alone, np.where(context > 0, before, 0)
+        return held, before, m.double.level(pairs[held]), level[at[held]]
+
+    def mixture(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the tokens are whose pair is held here, and the shares() of their levels."""
+        held, before, both, word = self.levels(at, h)
+        return held, *shares(before, both, word, self.total)
 
     def fit(self, texts: list[str | None]) -> np.ndarray:
-        """Log-likelihood by the context's level and the weights of GRID, each token left out of its counts."""
+        """How often each three levels come together, as counts by (context, pair, word)."""
         at, _, h = self.tokens(texts)
-        _, share, alone, level = self.mixture(at, h, 1.0)
-        out = np.zeros((LEVELS + 1, len(GRID)))
-        for k, w in enumerate(GRID):
-            out[:, k] = np.bincount(level, np.log10((1 - w) * share + w * alone), LEVELS + 1)
-        return out
+        _, before, both, word = self.levels(at, h)
+        return np.bincount((before * (LEVELS + 1) + both) * (LEVELS + 1) + word, minlength=(LEVELS + 1) ** 3)
+
+
+def shares(before: np.ndarray, both: np.ndarray, word: np.ndarray, total: float, less: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pair's share of its context, the word's share of all tokens, and the level by which they are mixed.
+
+    less is taken from each count (1 leaves a training token out of its own counts).
+    """
+    context = np.maximum(MEANING[before] - less, 0)
+    share = np.minimum(1.0, np.divide(np.maximum(MEANING[both] - less, 0), context, out=np.zeros(len(before)), where=context > 0))
+    return share, (np.maximum(MEANING[word] - less, 0) + 0.1) / total, np.where(context > 0, before, 0)
 
 
 def _scorer(key: str, held) -> Scorer:
@@ -306,41 +311,45 @@ class Counts:
     kept: list  # the broadcast model, once made, if the filters fit into one
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top_words: int = 400_000, fit_rows: int = 1_500, filter_limit: int = 128 << 20) -> Counts:
-    """Count words and pairs over all texts of docs (null: empty) and fit the mixing weights.
+def train(docs: DataFrame, text_col: str = "text", top_words: int = 400_000, filter_limit: int = 128 << 20) -> Counts:
+    """Count words and pairs over all texts of docs (null: empty) and fit the mixing weights on all their tokens.
 
-    top_words bounds the words whose exact counts are broadcast, fit_rows the rows (first by a hash of the id) on which
-    the mixing weights are fitted; counts come from every row.
+    top_words bounds the words whose exact counts are broadcast. A token's likelihood depends on three levels only, so
+    what the weights are fitted on is a count for each three levels, whose number has a bound, of every training token.
     """
     spark = docs.sparkSession
     ship(spark)
     owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sent = base.select("text").mapInArrow(_gather(owners), "owner int, single binary, double binary")
+    base = docs.select(F.col(f"`{text_col}`").alias("text"))
+    sent = base.mapInArrow(_gather(owners), "owner int, single binary, double binary")
     table = landed(sent.groupBy("owner").applyInPandas(_reduce(-(-top_words // owners)), _MODEL), "lm-counts")
     tokens, words = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     counts = Counts(table, owners, tokens, words, np.ones(LEVELS + 1), [])
-    edge = base.select(F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    if not tokens:
         return counts
-    gains = np.zeros((LEVELS + 1, len(GRID)))
+    spots = np.zeros((LEVELS + 1) ** 3, np.int64)
     for key, held in _shards(counts, filter_limit):
 
         def fit(batches, key=key, held=held):
-            scorer, out = _scorer(key, held), 0
+            scorer, out = _scorer(key, held), np.zeros((LEVELS + 1) ** 3, np.int64)
             for whole in batches:
                 for batch in cut(whole, "text", 2_000_000):
-                    out = out + scorer.fit(batch.column("text").to_pylist())
-            if not np.isscalar(out):
-                yield pa.RecordBatch.from_pydict({"gains": [out.tobytes()]})
+                    out += scorer.fit(batch.column("text").to_pylist())
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["spot", "c"])
 
-        for r in base.where(F.xxhash64("id") <= edge).select("text").repartition(8).mapInArrow(fit, "gains binary").collect():
-            gains += np.frombuffer(r["gains"], np.float64).reshape(gains.shape)
+        for r in base.mapInArrow(fit, "spot int, c long").groupBy("spot").agg(F.sum("c").alias("c")).toLocalIterator():
+            spots[r["spot"]] += r["c"]
         if not counts.kept:
             held.destroy()
+    at = np.flatnonzero(spots)
+    share, alone, level = shares(at // (LEVELS + 1) ** 2, at // (LEVELS + 1) % (LEVELS + 1), at % (LEVELS + 1), tokens + 0.1 * (words + 1), 1.0)
+    gains = np.zeros((LEVELS + 1, len(GRID)))
+    for k, w in enumerate(GRID):
+        gains[:, k] = np.bincount(level, spots[at] * np.log10((1 - w) * share + w * alone), LEVELS + 1)
     best = GRID[gains.argmax(axis=1)]
     seen = np.flatnonzero(gains.any(axis=1))
-    if len(seen):  # a level without sample takes the weight of the nearest one below
+    if len(seen):  # a level that no token has takes the weight of the nearest one below
         best = best[seen[np.maximum(np.searchsorted(seen, np.arange(LEVELS + 1), "right") - 1, 0)]]
     best[0] = 1.0
     return replace(counts, mixing=best)

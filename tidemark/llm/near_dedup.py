@@ -36,6 +36,7 @@ BLOCK_TOKENS = 2_000_000
 HUBS = 24  # expected, of a component of more than one block
 SLACK = 4.2  # standard deviations by which sketches may fall below the threshold
 SLOT_BITS = 18  # slots of the table of shingle counts that tells rare from common, as a power of two
+ALONE = 50_000  # edges that one task unites
 TILE = 4096  # rows in a tile of one shingle's list
 MAP_BITS = 26  # bits of the map that spares the second reading most sets, as a power of two
 
@@ -130,22 +131,51 @@ def trees_for(threshold: float) -> int:
     return next(n for n in range(1, 1000) if missed(threshold, n) <= MISS)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _united(batches):
+    """(v, to) of all ends of edges: the smallest vertex reachable, by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(map(root, list(up))), pa.int64())], ["v", "to"])
+
+
+def components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """(v, label) of all ends of edges (a long, b long): label is the smallest vertex reachable.
 
-    Each round takes the smallest label among neighbours and then follows labels of labels; rounds are written to the
-    shared folder, so a lost executor costs at most one of them.
+    Each round merges every vertex into the first of its neighbours and itself, in the order of ids at first (stars begin
+    at their smallest vertex) and in a new random order from then on, so a quarter of what is left goes on average whatever
+    the graph; edges inside what has merged are dropped, so only the first round meets them all. What is left when no more
+    than alone edges remain is united in one task. Rounds are written to the shared folder, so a lost executor costs at
+    most one of them.
     """
-    both = landed(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = landed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    ship(edges.sparkSession)
+    left = landed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    merged: list[DataFrame] = []
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("next"))
-        jumped = stepped.join(labels.select(F.col("v").alias("next"), F.col("label").alias("far")), "next", "left").select("v", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was"))
-        fresh = landed(jumped.select("v", "label", (F.col("label") != F.col("was")).alias("moved")), "cc-labels")
-        labels = fresh.select("v", "label")
-        if fresh.where("moved").isEmpty():
-            return labels
+        if left.count() <= alone:
+            merged.append(landed(left.coalesce(1).mapInArrow(_united, "v long, to long"), "cc-step"))
+            break
+        rank = (lambda c: F.lit(0)) if not merged else (lambda c, turn=len(merged): F.xxhash64(c, F.lit(turn)))
+        ends = left.select(F.col("a").alias("v"), "b").union(left.select(F.col("b").alias("v"), F.col("a").alias("b")))
+        first = ends.groupBy("v").agg(F.min(F.struct(rank("b"), F.col("b").alias("to"))).alias("near")).select("v", F.least("near", F.struct(rank("v"), F.col("v").alias("to")))["to"].alias("to"))
+        step = landed(first, "cc-step")
+        merged.append(step)
+        named = left.join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        left = landed(named.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+    roots = merged.pop()
+    while merged:
+        up = merged.pop()
+        roots = up.join(roots.select(F.col("v").alias("to"), F.col("to").alias("root")), "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+    roots = landed(roots, "cc-roots")
+    return roots.join(roots.groupBy("to").agg(F.min("v").alias("label")), "to").select("v", "label")
 
 
 def by_group(frame: DataFrame, keys: list[str], join, shape: str = "a long, b long") -> DataFrame:

@@ -33,6 +33,7 @@ MISS = 1e-4  # probability of missing a pair at the threshold, over all trees
 ANCHORS = 12  # expected, of a large node
 BLOCK = 256  # sets in a block of the exact check
 BLOCK_TOKENS = 2_000_000
+JOINED = -2  # in place of an anchor's rank: joined with its node's pivots already
 HUBS = 24  # expected, of a component of more than one block
 SLACK = 4.2  # standard deviations by which sketches may fall below the threshold
 SLOT_BITS = 18  # slots of the table of shingle counts that tells rare from common, as a power of two
@@ -88,8 +89,16 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _read(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), "<u4").reshape(-1, COORDS)
+def _read(sketches: pa.Array, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), kind).reshape(-1, COORDS)
+
+
+def _brief(batches):
+    """Sketches by the low byte of each coordinate: what agrees in full agrees here, so comparing these loses no pair, and
+    lets a coordinate that differs pass once in 256."""
+    for batch in batches:
+        low = _read(batch.column("sketch")).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([x.tobytes() for x in low], pa.binary())], ["v", "sketch"])
 
 
 def children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +238,14 @@ def _joined(loose: float):
     """Star edges (pivot, vertex, node) within groups. A small node is one group: all that chains of loosely agreeing
     sketches join. A large one (big) comes in blocks: what chains reach from the pivots, and the rest with pivot -1.
 
-    The pivots are the largest set of the node's anchors that chains join. Every block holds all anchors, so all blocks
-    choose the same ones.
+    The pivots are the largest set of the node's anchors (anchor >= 0) that chains join. Every block holds all anchors, so
+    all blocks choose the same ones; the star begins at the first of them in an order that all nodes share, so nodes of
+    the same documents give the same edges. Rows with anchor JOINED are joined already, and one of them speaks for all.
     """
 
     def join(batch, starts):
         v, node, anchor, big = (np.asarray(batch.column(c)) for c in ("v", "node", "anchor", "big"))
-        s = _read(batch.column("sketch"))
+        s = _read(batch.column("sketch"), "u1")
         sizes = np.diff(np.append(starts, len(v)))
         two = starts[(sizes == 2) & (big[starts] == 0)]
         near = two[(s[two] == s[two + 1]).sum(axis=1) >= loose * COORDS]
@@ -250,7 +260,7 @@ def _joined(loose: float):
             mine = s[start : start + size]
             if big[start]:
                 todo, best = np.zeros(size, bool), np.empty(0, np.int64)
-                anchors = np.flatnonzero(anchor[start : start + size] == 1)
+                anchors = np.flatnonzero(anchor[start : start + size] >= 0)
                 todo[anchors] = True
                 for i in anchors:
                     if todo[i]:
@@ -260,14 +270,16 @@ def _joined(loose: float):
                 todo[:] = True
                 todo[best] = False
                 if len(best):
-                    add(v[start + best].min(), start + np.append(best, _reached(mine, todo, best.tolist(), loose)))
+                    add(v[start + best[np.argmin(anchor[start + best])]], start + np.append(best, _reached(mine, todo, best.tolist(), loose)))
                 add(-1, start + np.flatnonzero(todo))
             elif size > 2:
                 todo = np.ones(size, bool)
                 for i in range(size):
                     if todo[i]:
                         todo[i] = False
-                        add(v[start + i], start + _reached(mine, todo, [i], loose))
+                        hit = start + _reached(mine, todo, [i], loose)
+                        told = anchor[hit] == JOINED
+                        add(v[start + i], np.append(hit[~told], hit[told][: int(anchor[start + i] != JOINED)]))
         return [np.concatenate(x) for x in out]
 
     return join
@@ -484,6 +496,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(out.view(np.int64)), pa.nulls(len(at), pa.int64())], ["v", "node", "hub"])
 
     drawn = classes.select("v", "sketch")
+    brief = drawn.mapInArrow(_brief, "v long, sketch binary")
     found = None
     level = landed(drawn.mapInArrow(branch, "v long, node long, hub long"), "near-level")
     visits = None
@@ -494,9 +507,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         big = F.col("size") > NODE
         blocks = F.ceil(F.col("size") / NODE).cast("int")
         every, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("v", "node", F.lit(turn)), blocks).cast("int"))
-        anchor = big & (F.pmod(F.xxhash64("v", "node"), F.lit(1 << 30)) < F.lit(ANCHORS * float(1 << 30)) / F.col("size"))
-        spread = held.select("v", "node", anchor.cast("int").alias("anchor"), big.cast("int").alias("big"), F.explode(F.when(anchor, every).when(big, own).otherwise(F.array(F.lit(0)))).alias("block"))
-        told = landed(by_group((spread if visits is None else spread.unionByName(visits)).join(drawn, "v"), ["node", "block"], _joined(loose), "pivot long, v long, node long"), "near-told")
+        rank = F.pmod(F.xxhash64("v", F.lit(10)), F.lit(1 << 30))
+        anchor = big & (rank < F.lit(ANCHORS * float(1 << 30)) / F.col("size"))
+        spread = held.select("v", "node", F.when(anchor, rank).otherwise(-1).cast("int").alias("anchor"), big.cast("int").alias("big"), F.explode(F.when(anchor, every).when(big, own).otherwise(F.array(F.lit(0)))).alias("block"))
+        told = landed(by_group((spread if visits is None else spread.unionByName(visits)).join(brief, "v"), ["node", "block"], _joined(loose), "pivot long, v long, node long"), "near-told")
         joined = told.where("pivot >= 0 AND pivot <> v").select(F.col("pivot").alias("a"), F.col("v").alias("b"))
         found = joined if found is None else found.unionByName(joined)
         if told.where("pivot < 0").isEmpty():
@@ -506,7 +520,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         marked = landed(held.where(big).select("v", "node", "size").join(counts, "node").join(outside.withColumn("out", F.lit(True)), ["v", "node"], "left"), "near-marked")
         # few of a node meet all of it, in the next turn; with many the node branches on
         few = F.lit(True) if turn >= ROUNDS - 1 else F.col("outs") <= NODE
-        visits = marked.where(few).select("v", "node", F.lit(0).alias("anchor"), F.lit(0).alias("big"), F.explode(F.when(F.col("out"), every).otherwise(own)).alias("block"))
+        visits = marked.where(few).select("v", "node", F.when(F.col("out"), -1).otherwise(JOINED).alias("anchor"), F.lit(0).alias("big"), F.explode(F.when(F.col("out"), every).otherwise(own)).alias("block"))
         many = marked.where(~few).select("v", "node", F.when(F.col("out").isNull(), F.col("node")).alias("hub"))
         level = landed(many.join(drawn, "v").mapInArrow(branch, "v long, node long, hub long").distinct(), "near-level")
     members = components(found).withColumnRenamed("label", "loose")

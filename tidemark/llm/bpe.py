@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import cut, worker_state
+from tidemark.llm.common import cut, trimmed, worker_state
 from tidemark.session import ship
 
 # What a worker keeps: bounds of memory, which cost time and change nothing else.
@@ -255,11 +255,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def work(batches):
         pieces = _pieces(spec)
         find, get, token, number = pieces.bpe.find, pieces.__getitem__, pieces.bpe.bytes_of.__getitem__, pieces.bpe.number_of.__getitem__
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in cut(whole, "text", 1_000_000):
                 ids = [np.frombuffer(b"".join(map(get, find(t))), "<i4") if t else np.empty(0, np.int32) for t in batch.column("text").to_pylist()]
                 if digests:
-                    told = [pa.array([sha256(b",".join(map(number, x.tolist()))).hexdigest() for x in ids]), pa.array([sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in ids])]
+                    pairs = [(sha256(b",".join(map(number, x))).hexdigest(), sha256(b"".join(map(token, x))).hexdigest()) for x in map(np.ndarray.tolist, ids)]
+                    told = [pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())]
                 else:
                     told = [pa.array([b"".join(map(token, x.tolist())) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), *told], ["doc_id", "ids", *(("ids_sha256", "decoded_sha256") if digests else ("decoded",))])

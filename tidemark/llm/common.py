@@ -37,13 +37,26 @@ def worker_state(key, make):
     return _state[key]
 
 
+def trim() -> None:
+    """Give free memory back where Arrow's pool and the C library can: a worker would hold its largest batch for good."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def release() -> None:
-    """Forget what earlier stages left in this worker, and give free memory back where the C library can."""
+    """Forget what earlier stages left in this worker."""
     _state.clear()
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
+
+
+def trimmed(batches):
+    """The batches, with free memory given back after each."""
+    for batch in batches:
+        yield batch
+        trim()
 
 
 def unused(name: str, columns: list[str]) -> str:

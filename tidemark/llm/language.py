@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release, worker_state
+from tidemark.llm.common import cut, release, trimmed, worker_state
 from tidemark.session import ship
 
 # First and last code points of scripts.
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def work(batches):
         model = held.value
         scorer = worker_state(key, lambda: Scorer(model)) if model else None
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in cut(whole, text_name, 1_500_000):
                 texts = [(t or "").lower() for t in batch.column(text_name).to_pylist()]
                 words = [_LETTERS.findall(t) if scorer else [] for t in texts]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release, worker_state
+from tidemark.llm.common import cut, release, trimmed, worker_state
 from tidemark.session import landed, ship
 
 BASE = 1.5  # ratio of neighbouring levels
@@ -197,7 +197,7 @@ def _gather(owners: int):
                 yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in (0, 1))], ["owner", "single", "double"])
 
         size = 0
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in cut(whole, "text", 2_000_000):
                 at, _ = words.tokens(batch.column("text").to_pylist())
                 h = words.hashes[at]
@@ -332,7 +332,7 @@ def train(docs: DataFrame, text_col: str = "text", top_words: int = 400_000, fil
 
         def fit(batches, key=key, held=held):
             scorer, out = _scorer(key, held), np.zeros((LEVELS + 1) ** 3, np.int64)
-            for whole in batches:
+            for whole in trimmed(batches):
                 for batch in cut(whole, "text", 2_000_000):
                     out += scorer.fit(batch.column("text").to_pylist())
             at = np.flatnonzero(out)
@@ -420,7 +420,7 @@ def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
 
         def work(batches, key=key, held=held, first=first):
             scorer = _scorer(key, held)
-            for whole in batches:
+            for whole in trimmed(batches):
                 for batch in cut(whole, "text", 2_000_000):
                     at, lengths, h = scorer.tokens(batch.column("text").to_pylist())
                     doc = np.repeat(np.arange(len(lengths)), lengths)

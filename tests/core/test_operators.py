@@ -48,6 +48,18 @@ def test_websearch_match(spark):
     assert find("a b") == [1, 2] and find('"a b"') == [1] and find("a -c") == [2] and find('"a b" or c') == [1, 3] and find("") == []
 
 
+def test_match_makes_tokens_once(spark):
+    """However many places and clauses a query looks at, a document's tokens are made once."""
+    df = spark.createDataFrame([(1, "x " * 50 + "a b c"), (2, "b a " * 20 + "a"), (3, None), (4, "")], "id int, text string")
+    got = df.select("id", *[retrieval.match(tx.words(F.col("text")), q).alias(n) for n, q in (("hit", '"a b c" -z or "a a"'), ("bare", '-"a b"'))])
+    assert sorted(map(tuple, got.collect())) == [(1, True, False), (2, True, False), (3, None, None), (4, False, True)]
+    for q in ('"a b c"', "a b -c"):
+        found = df.where(retrieval.match(tx.words(F.col("text")), q))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    holes = spark.createDataFrame([(1, ["a", None, "b"]), (2, [None, "a", "b"])], "id int, t array<string>")
+    assert [r["hit"] for r in holes.orderBy("id").select(retrieval.match(F.col("t"), '"a b"').alias("hit")).collect()] == [False, True]
+
+
 def test_cover_density_prefers_close_words(spark):
     df = spark.createDataFrame([(1, "x a b y".split()), (2, "a x x x b".split()), (3, "a b a b".split()), (4, "a".split())], "id int, t array<string>")
     s = {r["id"]: r["s"] for r in df.select("id", retrieval.cover_density(F.col("t"), ["a", "b"]).alias("s")).collect()}

@@ -60,6 +60,63 @@ def test_match_makes_tokens_once(spark):
     assert [r["hit"] for r in holes.orderBy("id").select(retrieval.match(F.col("t"), '"a b"').alias("hit")).collect()] == [False, True]
 
 
+def _brute(queries, base, k):
+    """Plain Python: by distance to 6 digits and id; undefined distances after all others, null ones last."""
+    out = []
+    for qid, q in queries:
+        every = []
+        for i, v in base:
+            if q is None or v is None:
+                every.append(((9, i), None))
+                continue
+            n = (sum(x * x for x in q) * sum(x * x for x in v)) ** 0.5
+            d = round(1 - sum(x * y for x, y in zip(q, v)) / n, 6) + 0.0 if n else float("nan")
+            every.append(((d if n else 8, i), d))
+        out += [(qid, i, str(d)) for (_, i), d in sorted(every, key=lambda x: x[0])[:k]]
+    return sorted(out)
+
+
+def test_knn_join_of_odd_vectors_in_groups(spark):
+    """Copies, vectors of length 0 and null ones; more rows than a tile and fewer than k; each task gives k rows a query."""
+    vector = lambda i: None if i % 13 == 5 else [0.0, 0.0] if i % 11 == 3 else [float(i % 7 - 3), float(i % 5 + 1)]
+    rows = [(i, vector(i)) for i in range(120)]
+    base = spark.createDataFrame(rows[::-1], "id long, v array<float>").repartition(3)
+    queries = spark.createDataFrame(rows[:20], "qid long, q array<float>")
+    for k, group in ((11, 65_536), (11, 7), (119, 65_536)):
+        got = sorted((r["qid"], r["id"], str(r["dist"])) for r in retrieval.knn_join(queries, base, k, group).collect())
+        assert got == _brute(rows[:20], rows, k)
+    none = retrieval.knn_join(spark.createDataFrame([(1, None)], "qid long, q array<float>"), base, 3).collect()
+    assert [(r["id"], r["dist"]) for r in none] == [(0, None), (1, None), (2, None)]
+    assert retrieval.knn_join(queries.where("qid < 0"), base, 3).count() == 0
+    names = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "id string, v array<double>")
+    assert [r["id"] for r in retrieval.knn_join(spark.createDataFrame([(1, [1.0, 0.0])], "qid int, q array<float>"), names, 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_nearest_holds_tiles_not_all_pairs():
+    """8,000 queries against 4 x 2,000 vectors: a matrix of all queries and one batch alone would take 128 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((8_000, 16)).astype("f4")
+    v[::9] = v[5]
+    none = np.zeros(8_000, bool)
+    tracemalloc.start()
+    best = retrieval._Nearest(v, none, 11, np.dtype("int64"))
+    for at in range(0, 8_000, 2_000):
+        best.add(np.arange(at, at + 2_000)[::-1], v[at : at + 2_000][::-1], none[:2_000])
+    assert tracemalloc.get_traced_memory()[1] < 64e6
+    tracemalloc.stop()
+    q, ids, dist, _ = best.found()
+    assert len(q) == 8_000 * 11
+    u = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
+    for i in (0, 5, 4_000, 7_999):
+        d = np.round(1 - u[i] @ u.T, 6) + 0.0
+        want = np.lexsort((np.arange(8_000), d))[:11]
+        assert ids[q == i].tolist() == want.tolist() and dist[q == i].tolist() == d[want].tolist()
+
+
 def test_cover_density_prefers_close_words(spark):
     df = spark.createDataFrame([(1, "x a b y".split()), (2, "a x x x b".split()), (3, "a b a b".split()), (4, "a".split())], "id int, t array<string>")
     s = {r["id"]: r["s"] for r in df.select("id", retrieval.cover_density(F.col("t"), ["a", "b"]).alias("s")).collect()}

@@ -45,3 +45,7 @@ def _same_on(odd, spark, name):
 
 def test_gold_rank_of_odd_vectors(spark, odd_vectors):
     assert _same_on(odd_vectors, spark, "jn16_gold_rank")
+
+
+def test_baseline_of_odd_vectors(spark, odd_vectors):
+    assert _same_on(odd_vectors, spark, "jn14_baseline")

@@ -42,6 +42,28 @@ def test_rerank_and_embedding(spark):
     assert abs(sum(x * x for x in v[0]["v"]) - 1) < 1e-6 and sum(v[2]["v"]) == 0
 
 
+def test_embedding_of_every_document_in_bounded_batches(spark, small):
+    """As plain Python has it; texts go to workers in batches of bounded rows."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = more.co09_embed(spark, small)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
+
+    def one(t):
+        v = np.zeros(64)
+        for w in ("passage: " + t).lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % 64] += 1 if h >> 63 else -1
+        return (v / np.sqrt((v * v).sum())).astype("f4").tolist()
+
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    assert {r["doc_id"]: r["v"] for r in out.collect()} == {i: one(t) for i, t in zip(docs["doc_id"], docs["text"])}
+
+
 def test_rate_windows(spark):
     df = spark.createDataFrame([("h", t, i) for i, t in enumerate((0, 10, 59, 60, 61, 200))], "host string, t long, id int")
     out = [(r["start"], r["allowed"]) for r in answers.rate_windows(df, 2).orderBy("id").collect()]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +66,24 @@ def lemmas(tokens: Column, dictionary: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """An offline stand-in for an embedding model: signed hashed words, normalised. Not a semantic model."""
+    """An offline stand-in for an embedding model: signed hashed words, normalised. Not a semantic model.
 
-    @F.pandas_udf("array<float>")
-    def embed(series: pd.Series) -> pd.Series:
-        import hashlib
+    Texts stay in Arrow and become Python strings one at a time; session.ship bounds the rows of a batch.
+    """
 
-        import numpy as np
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        import hashlib
 
-        def one(t: str | None):
+        out = np.zeros((len(texts), dim), np.float32)
+        for i, t in enumerate(texts):
             v = np.zeros(dim)
-            for w in (t or "").lower().split():
+            for w in (t.as_py() or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
                 v[h % dim] += 1 if h >> 63 else -1
             n = float(np.sqrt((v * v).sum()))
-            return (v / n if n else v).astype("f4")
-
-        return series.map(one)
+            out[i] = v / n if n else v
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), out.ravel())
 
     return embed(text)
 

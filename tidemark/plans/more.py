@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import answers
-from tidemark.session import load
+from tidemark.session import load, ship
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,7 @@ def co06_exact_lookup(spark, d):
 
 @query()
 def co09_embed(spark, d):
+    ship(spark)
     return load(spark, d, "documents").select("doc_id", answers.hashed_embedding(F.concat(F.lit("passage: "), "text")).alias("v"))
 
 

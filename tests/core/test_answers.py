@@ -70,6 +70,30 @@ def test_rate_windows(spark):
     assert out == [(0, True), (0, True), (0, False), (60, True), (60, True), (200, True)]
 
 
+def test_rate_windows_walk_in_small_batches(spark):
+    """Many requests at once, missing hosts and times, fractions of seconds: as a plain walk has it; no frame holds a host's rows."""
+    import random
+
+    rng = random.Random(5)
+    when = lambda i: None if i % 97 == 5 else rng.choice((rng.randrange(-200, 900), rng.randrange(60)))
+    for kind, shift in (("long", 0), ("double", 0.25)):
+        rows = [(rng.choice(("a", "a", "a", "b", None)), when(i), i) for i in range(1_500)] + [("void", None, 2_000 + i) for i in range(5)]
+        rows = [(h, t if t is None or not shift else t + shift * (i % 4), i) for h, t, i in rows]
+        want, open_ = {}, {}
+        for h, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1] is None, r[1] or 0, r[2])):
+            start, used = open_.get(h, (None, 0))
+            if t is not None and (start is None or t >= start + 60):
+                start, used = t, 0
+            open_[h] = start, used + 1
+            want[i] = (h, t, start, used < 3)
+        df = spark.createDataFrame([(h, t if t is None or kind == "long" else float(t), i) for h, t, i in rows], f"host string, t {kind}, id long")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = answers.rate_windows(df, 3)
+        assert {r["id"]: (r["host"], r["t"], r["start"], r["allowed"]) for r in out.collect()} == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == ["host", "t", "id", "start", "allowed"]
+
+
 def test_cache_version(spark):
     chunks = spark.createDataFrame([("h1", "a"), ("h1", "a"), ("h2", "b"), ("h3", "c")], "content_hash string, text string")
     cache = spark.createDataFrame([("h1", "v1"), ("h2", "v0")], "content_hash string, version string")

@@ -158,18 +158,37 @@ def http_status(error: str | None) -> int:
 def rate_windows(requests: DataFrame, per_window: int, seconds: int = 60) -> DataFrame:
     """requests (host, t seconds, id): the window each falls in and whether it is allowed.
 
-    A window starts with the first request after the last one ended, so each host is walked in order.
+    A window starts with the first request after the last one ended, so each host's distinct times are walked in order,
+    batch by batch with only the open window held; what comes of it is the starts that matter to each stretch of a
+    window's length. Requests find theirs by host and stretch, and their turn within it by (t, id). One without a time
+    belongs to the host's last window, after all others.
     """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        start, used, out = None, 0, []
-        for t in pdf["t"]:
-            if start is None or t >= start + seconds:
-                start, used = t, 0
-            used += 1
-            out.append((start, used <= per_window))
-        return pdf.assign(start=[x[0] for x in out], allowed=[x[1] for x in out])
-
     k = {f.name: f.dataType.simpleString() for f in requests.schema}
-    return requests.select("host", "t", "id").groupBy("host").applyInPandas(work, f"host {k['host']}, t {k['t']}, id {k['id']}, start {k['t']}, allowed boolean")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = start = schema = None  # the last stretch gets starts as long as its times come
+        for batch in batches:
+            done = []
+            for host, t, stretch in zip(*(batch.column(c).to_pylist() for c in ("host", "t", "stretch")), strict=True):
+                if last is None or last["host"] != host:
+                    start = None
+                if last is None or (last["host"], last["stretch"]) != (host, stretch):
+                    done += [last] if last else []
+                    last = {"host": host, "stretch": stretch, "starts": [] if start is None else [start]}
+                if t is not None and (start is None or t >= start + seconds):
+                    start = t
+                    last["starts"].append(t)
+            schema = pa.schema([("host", batch.column("host").type), ("stretch", pa.int64()), ("starts", pa.list_(batch.column("t").type))])
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if last:
+            yield pa.RecordBatch.from_pylist([last], schema)
+
+    t = F.when(~F.isnan("t"), F.col("t")) if k["t"] in ("float", "double") else F.col("t")
+    timed = requests.select("host", "t", "id", t.alias("_t"), F.floor(t.cast("double") / seconds).alias("_stretch"))
+    times = timed.select("host", F.col("_t").alias("t"), F.col("_stretch").alias("stretch")).distinct()
+    starts = times.repartition("host").sortWithinPartitions("host", F.col("t").asc_nulls_last()).mapInArrow(walk, f"host {k['host']}, stretch bigint, starts array<{k['t']}>")
+    starts = starts.withColumnRenamed("host", "_host")
+    found = timed.join(starts, F.col("host").eqNullSafe(F.col("_host")) & F.col("_stretch").eqNullSafe(F.col("stretch")))
+    found = found.withColumn("start", F.array_max(F.when(F.col("_t").isNull(), F.col("starts")).otherwise(F.filter("starts", lambda x: x <= F.col("_t")))))
+    turn = F.row_number().over(Window.partitionBy("host", "start").orderBy(F.col("_t").asc_nulls_last(), F.col("id").asc_nulls_last()))
+    return found.withColumn("allowed", turn <= per_window).select("host", "t", "id", "start", "allowed")

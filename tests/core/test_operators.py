@@ -144,6 +144,26 @@ def test_nearest_holds_bytes_not_rows(spark, monkeypatch):
     assert sorted((r["qid"], r["id"], str(r["dist"])) for r in got.collect()) == _brute(rows[:20], rows, 3)
 
 
+def test_nearest_measures_few_of_many_copies(monkeypatch):
+    """Of copies, vectors of length 0 and null ones, k of each tile can be among the best; all pairs would be 4,000,000."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v, none = rng.standard_normal((2_000, 4)).astype("f4"), np.arange(2_000) % 10 == 1
+    v[np.arange(2_000) % 10 > 3] = v[4]
+    v[none | (np.arange(2_000) % 10 == 2)] = 0
+    measured, merge = [], retrieval._Nearest._merge
+    monkeypatch.setattr(retrieval._Nearest, "_merge", lambda self, rows, dist, ids: measured.append(len(rows)) or merge(self, rows, dist, ids))
+    best = retrieval._Nearest(v, none, 11, np.dtype("int64"))
+    ids = np.arange(2_000)[::-1]
+    best.add(ids, v[::-1], none[::-1])
+    assert sum(measured) < 100_000
+    q, found, dist, null = best.found()
+    assert found[q == 1].tolist() == [*range(11)] and null[q == 1].all()
+    assert found[q == 2].tolist() == [i for i in range(20) if i % 10 != 1][:11] and np.isnan(dist[q == 2]).all()
+    assert found[q == 4].tolist() == found[q == 1_999].tolist() == [i for i in range(30) if i % 10 > 3][:11]
+
+
 def test_cover_density_prefers_close_words(spark):
     df = spark.createDataFrame([(1, "x a b y".split()), (2, "a x x x b".split()), (3, "a b a b".split()), (4, "a".split())], "id int, t array<string>")
     s = {r["id"]: r["s"] for r in df.select("id", retrieval.cover_density(F.col("t"), ["a", "b"]).alias("s")).collect()}
